@@ -11,10 +11,33 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the executors of the session's cluster, once for each
+    application: a zip in the shared folder is added to the Python path of all tasks."""
+    app = spark.sparkContext.applicationId
+    folder = shared_dir(spark)
+    if app in _shipped or not (folder.startswith(("file:", "/"))):
+        return
+    _shipped.add(app)
+    package = os.path.dirname(os.path.abspath(__file__))
+    zipped = f"{local_path(folder)}/{os.path.basename(package)}-{uuid.uuid4().hex}"
+    os.makedirs(local_path(folder), exist_ok=True)
+    with zipfile.ZipFile(f"{zipped}.zip", "w") as z:
+        for at, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(package)))
+    spark.sparkContext.addPyFile(f"{zipped}.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,4 +72,4 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def local_path(path: str) -> str:
-    return path.removeprefix("file://") if path.startswith("file://") else os.path.abspath(path)
+    return os.path.abspath("/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else os.path.abspath(path)
