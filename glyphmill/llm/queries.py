@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import bpe, frequency, looks_alike, packing, splits
+from glyphmill.llm import bpe, frequency, harm, leaks, looks_alike, packing, splits
 from glyphmill.llm.look import look_column
 from glyphmill.tables import SharedTable, table
 
@@ -41,6 +41,15 @@ def p2_shares(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumn("share", F.col("n_rows") / F.expr("sum(n_rows) over ()"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.Overlaps(table(spark, d, "documents")).found().select("doc_id_a", "doc_id_b")
+
+
+def p3_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return leaks.report(docs, leaks.Overlaps(docs).classes())
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     texts = looks_alike.text_values(table(spark, d, "meta"), table(spark, d, "stock_lines"), "doc_id", "text")
     lists = looks_alike.list_looks(table(spark, d, "column_labels"), "column_key", "line_texts")
@@ -65,4 +74,17 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.packing_report(p7_packed(spark, d), CAPACITY)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_splits, p2_shares, p4_found, p4_documents, p6_ids, p7_packed, p7_report)}
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return harm.scores(docs, harm.fit(docs, table(spark, d, "review_labels"), table(spark, d, "harm_terms")))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_scores(spark, d).where("harmful").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    return harm.rates(p8_scores(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_splits, p2_shares, p3_found, p3_report, p4_found, p4_documents, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates)}

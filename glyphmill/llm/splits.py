@@ -40,7 +40,7 @@ def looks(df: DataFrame, stock: DataFrame, text: str = "text") -> DataFrame:
 
 def shared_text_edges(meta: DataFrame, stock: DataFrame) -> DataFrame:
     """(src, dst): each work with the smallest work that holds one of its lines."""
-    held = looks(meta.select("src_doc", "text").where("src_doc is not null").distinct(), stock).select("src_doc", *look_key()).distinct()
+    held = SharedTable(looks(meta.select("src_doc", "text").where("src_doc is not null").distinct(), stock).select("src_doc", *look_key()).distinct()).df
     several = held.groupBy("k1", "k2").agg(F.min("src_doc").alias("dst"), F.max("src_doc").alias("top")).where("dst < top").drop("top")
     return held.join(several, ["k1", "k2"]).where("src_doc <> dst").select(F.col("src_doc").alias("src"), "dst").distinct()
 
