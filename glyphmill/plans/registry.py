@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from glyphmill.plans import archive
+from glyphmill.plans import archive, corpus, evaluation, vocabulary
 
-MODULES = (archive,)
-FLAGSHIP = "p5_layout"
+MODULES = (archive, vocabulary, corpus, evaluation)
+FLAGSHIP = "ocr_report"
 
 
 def queries() -> dict:
