@@ -50,10 +50,10 @@ def params(n_classes: int, hidden: int, mode: str, img_w: int = 64) -> int:
 
 def matched_hidden(n_classes: int, img_w: int, hidden: int = 384) -> int:
     """Hidden size at which ``mean_big`` has as many parameters as ``concat`` at ``hidden``: the positive
-    root of 24 x**2 + b x + c = 0, rounded."""
+    root of 32 x**2 + b x + c = 0, rounded."""
     goal = lstm_params(STEM[-1] * reduced_width(img_w), hidden, n_classes)
     b = 8 * (STEM[-1] + 2) + 16 + 2 * n_classes
-    return round((-b + math.sqrt(b * b + 4 * 24 * (goal - n_classes))) / (2 * 24))
+    return round((-b + math.sqrt(b * b + 4 * 32 * (goal - n_classes))) / (2 * 32))
 
 
 def check_hidden(mode: str, hidden: int, n_classes: int, img_w: int = 64) -> None:

@@ -13,28 +13,28 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame
     """``df`` with the 0-based position of each row in ``order`` (ties: in any fixed order)."""
     spark = df.sparkSession
     ranged = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    kept = SharedTable(ranged.withColumn("_at", F.monotonically_increasing_id())).df
-    kept = kept.withColumn("_part", F.shiftright("_at", 33)).withColumn("_row", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return kept.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_row")).drop("_part", "_at", "_row", "_before")
+    kept = SharedTable(ranged.withColumn("__at", F.monotonically_increasing_id())).df
+    kept = kept.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = kept.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    return kept.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__row")).drop("__part", "__at", "__row", "__before")
 
 
 def strided(df: DataFrame, order: list[Column], show: int) -> DataFrame:
     """Every max(1, n // max(1, show))-th row from the first on."""
     n = df.count()
     step = max(1, n // max(1, show))
-    return numbered(df, order, "_pos").where(F.col("_pos") % step == 0).drop("_pos")
+    return numbered(df, order, "__pos").where(F.col("__pos") % step == 0).drop("__pos")
 
 
 def seeded(df: DataFrame, key: Column, seed: int) -> DataFrame:
     """A shuffle that depends on key and seed only: same seed, same order; any seed, same rows."""
-    return df.withColumn("_draw", F.xxhash64(F.lit(seed), key)).orderBy("_draw", key).drop("_draw")
+    return df.withColumn("__draw", F.xxhash64(F.lit(seed), key)).orderBy("__draw", key).drop("__draw")
 
 
 def batches(df: DataFrame, order: list[Column], size: int, partial: bool) -> DataFrame:
     """``df`` with its batch number; without ``partial`` the ragged last batch is dropped."""
-    d = numbered(df, order, "_pos").withColumn("batch", F.floor(F.col("_pos") / size).cast("bigint"))
+    d = numbered(df, order, "__pos").withColumn("batch", F.floor(F.col("__pos") / size).cast("bigint"))
     if not partial:
         d = d.where(F.col("batch") < F.lit(df.count() // size))
-    return d.drop("_pos")
+    return d.drop("__pos")

@@ -242,7 +242,7 @@ SQL = {
     "param_counts": "select mode, hidden::bigint as hidden, params::bigint as params from (values ('mean', 384, 6378278), ('concat', 384, 8737574), ('concat_proj', 384, 6640678), ('mean_big', 462, 8747918)) t(mode, hidden, params)",
     "matched_hidden": """with p as (select n, w, (w + 15) // 16 as rw from (select unnest([100, 614, 2000]) as n) cross join (select unnest([32, 64, 96]) as w)),
       g as (select *, 8 * 384 * (256 * rw + 386) + 8 * 384 * (768 + 386) + (2 * 384 + 1) * n as goal, 2080 + 2 * n as b from p)
-      select n::bigint as n_classes, w::bigint as img_w, round((-b + sqrt(b * b + 96.0 * (goal - n))) / 48)::bigint as hidden, rw::bigint as width from g""",
+      select n::bigint as n_classes, w::bigint as img_w, round((-b + sqrt(b * b + 128.0 * (goal - n))) / 64)::bigint as hidden, rw::bigint as width from g""",
     "lr_warmup": "select step, round(case when step < 40 then 0.001 * (step + 1) / 40 else 0.001 end, 9) as lr from (select unnest(range(0, 100)) as step)",
     "tar_roundtrip": f"""with {_LAB}, t as (select idx, any_value(text) as text, any_value(coalesce(src_doc, 0)) as src_doc from column_labels where text is not null group by idx), p as (select *, row_number() over (order by idx) - 1 as pos from t)
       select format('shard-{{:05d}}.tar', pos // 100) as shard, format('col_{{:08d}}', idx) as key, text, src_doc, 60::int as h from p where idx in (select idx from lab)""",
