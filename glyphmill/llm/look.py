@@ -91,6 +91,13 @@ def _plain_forms() -> dict[int, str | None]:
 
 
 _FORMS = _plain_forms()
+_SWAPS = {chr(cp): form or "" for cp, form in _FORMS.items()}
+_SWAPPED = re.compile("[" + "".join(map(re.escape, _SWAPS)) + "]")
+
+
+def plain_forms(text: str) -> str:
+    """A text with those forms undone (cheaper than ``translate``, as few characters are concerned)."""
+    return _SWAPPED.sub(lambda m: _SWAPS[m[0]], text)
 
 
 def token_scripts(token: str) -> tuple[set[str], set[str]]:
@@ -134,7 +141,7 @@ def _spell(token: str) -> str:
 def kind_of_token(token: str) -> str:
     """``mixed``: letters of several scripts that one script can spell; ``whole``: letters of one
     script that another can spell; ``plain``: neither."""
-    able, own = token_scripts(token.translate(_FORMS))
+    able, own = token_scripts(plain_forms(token))
     if len(own) > 1 and able:
         return "mixed"
     return "whole" if len(own) == 1 and len(able) > 1 else "plain"
@@ -157,9 +164,9 @@ class Speller:
     def text(self, text: str | None) -> str | None:
         if text is None:
             return None
-        text = text.translate(_FORMS)
         if text.isascii():
             return text
+        text = plain_forms(text)
         # accents may follow a character across nothing but invisible marks, which are gone by now
         seen = self.seen
         return " ".join([seen.get(t) or (self.token(t) if t else "") for t in text.split(" ")])
