@@ -33,8 +33,11 @@ def distance_table(ref: str, hyp: str) -> np.ndarray:
 def align(ref: str, hyp: str) -> list[tuple[str, str, str]]:
     """(kind, reference character, other character) from start to end; kinds match, sub, del, ins. Traced
     from the end; a diagonal step is preferred, then a deletion, then an insertion."""
-    t = distance_table(ref, hyp)
     i, j, ops = len(ref), len(hyp), []
+    while i and j and ref[i - 1] == hyp[j - 1]:  # an equal end is always matched
+        i, j = i - 1, j - 1
+        ops.append(("match", ref[i], ref[i]))
+    t = distance_table(ref[:i], hyp[:j]) if i or j else None
     while i or j:
         here = t[i, j]
         if i and j and t[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]) == here:
@@ -82,11 +85,13 @@ def pair_table(spark, pairs_a=PAIRS_A, pairs_b=PAIRS_B) -> DataFrame:
 def pair_rows(df: DataFrame, pairs: DataFrame, ref: str = "ref", pred: str = "pred") -> DataFrame:
     """(cls, pair, ab, ba, undirected, occ, rate): rate is undirected / (occ(a) + occ(b)), 0 without any."""
     letters = pairs.select(F.explode(F.array("a", "b")).alias("ch")).distinct()
-    sub = substitutions(aligned(df, ref, pred))
+    # texts that are equal when folded have no substitutions and needn't be aligned
+    fold = lambda c: nominal_fold(F.coalesce(c, F.lit("")))
+    sub = substitutions(aligned(df.where(fold(ref) != fold(pred)), ref, pred))
     occ = occurrences(df, ref).join(F.broadcast(letters), "ch", "left_semi")
-    x = pairs
-    for name, (p, q) in {"ab": ("a", "b"), "ba": ("b", "a")}.items():
-        x = x.join(sub.select(F.col("r").alias(p), F.col("h").alias(q), F.col("n").alias(name)), [p, q], "left")
+    way = F.array(F.struct(F.lit("ab").alias("way"), F.col("a").alias("r"), F.col("b").alias("h")), F.struct(F.lit("ba").alias("way"), F.col("b").alias("r"), F.col("a").alias("h")))
+    ways = pairs.select("cls", "a", "b", F.inline(way))
+    x = ways.join(sub, ["r", "h"], "left").groupBy("cls", "a", "b").agg(*[F.sum(F.when(F.col("way") == w, F.col("n"))).alias(w) for w in ("ab", "ba")])
     for p in ("a", "b"):
         x = x.join(occ.select(F.col("ch").alias(p), F.col("n").alias(f"o{p}")), p, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("ab", "ba", "oa", "ob")}
