@@ -15,3 +15,40 @@ SQL = {
     "p1_frequencies": _P1 + """o as (select field, term, occurrences, records, mark from m union all
       select field, term, occurrences, records, null from t where not (occurrences < rare or records > common * n)) select * from o""",
 }
+
+
+def _look_sql(x: str) -> str:
+    """A form in which equal looks are equal: by character instead of by token, so it is another route to
+    the same classes as the operator's spelling."""
+    from unicodedata import normalize
+
+    from glyphmill.llm.look import FOLD_DELETES, LOOKALIKES, OTHER_INVISIBLE
+
+    spaces = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
+    pairs = [(chr(c), " ") for c in spaces] + [(chr(c + 0xFEE0), chr(c)) for c in range(0x21, 0x7F)] + [(chr(0x2010), "-"), (chr(0x2011), "-")]
+    gone = "".join(map(chr, (*FOLD_DELETES, *OTHER_INVISIBLE, *range(0xFE00, 0xFE10))))
+    first = [r.split() for r in LOOKALIKES.split("\n") if r]
+    like = {c: r[0] for r in first for c in r[1:] if c != "."}
+    for c, latin in list(like.items()):
+        for mark in map(chr, range(0x300, 0x315)):
+            a, b = normalize("NFC", c + mark), normalize("NFC", latin + mark)
+            if len(a) == len(b) == 1:
+                like[a] = b
+
+    def lit(s: str) -> str:
+        return "'" + s.replace("'", "''") + "'"
+
+    x = f"replace(replace({x}, chr(64257), 'fi'), chr(64258), 'fl')"
+    x = f"nfc_normalize(translate({x}, {lit(''.join(a for a, _ in pairs) + gone)}, {lit(''.join(b for _, b in pairs))}))"
+    return f"nfc_normalize(translate({x}, {lit(''.join(like))}, {lit(''.join(like.values()))}))"
+
+
+_STOCK = f"stock as (select distinct {_look_sql('text')} as k from stock_lines where text <> '')"
+SQL["p4_found"] = f"""with {_STOCK}, m as (select distinct doc_id as key, text as raw, {_look_sql('text')} as k from meta where doc_id is not null and text <> ''),
+c as (select distinct column_key as key, line_texts as raw, list_transform(line_texts, lambda t: {_look_sql('t')}) as k from column_labels where column_key is not null and len(line_texts) > 0)
+select distinct 'meta.text' as field, a.key as key_a, b.key as key_b from m a join m b on a.k = b.k and a.key < b.key and a.raw <> b.raw where a.k not in (select k from stock)
+union all select distinct 'column_labels.line_texts', a.key, b.key from c a join c b on a.k = b.k and a.key < b.key and a.raw <> b.raw"""
+SQL["p2_found"] = f"""with recursive {_STOCK}, h as (select distinct src_doc, {_look_sql('text')} as k from meta where src_doc is not null and text <> ''),
+e as (select distinct a.src_doc as a, b.src_doc as b from h a join h b using (k) where k not in (select k from stock) and a.src_doc <> b.src_doc),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
+select min(b) as group_src_doc, a as src_doc from r group by a having min(b) < a"""

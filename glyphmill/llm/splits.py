@@ -91,10 +91,11 @@ def assign_splits(meta: DataFrame, stock: DataFrame, shares: dict[str, float], s
     if not math.isclose(sum(shares.values()), 1.0) or min(shares.values()) < 0:
         raise ValueError("shares must be positive and sum to one")
     comp = components(shared_text_edges(meta, stock)).select(F.col("node").alias("_node"), F.col("component").alias("_component"))
-    own = look_column(meta, "text", "_look").withColumn(
-        "_alone", F.when(F.col("src_doc").isNull(), F.coalesce(F.concat(F.lit("look:"), F.sha2(F.when(F.col("_look") != "", F.col("_look")), 256)), F.concat(F.lit("row:"), F.col("doc_id")), F.lit("row:")))
-    ).drop("_look")
-    rows = own.join(comp, own["src_doc"] == comp["_node"], "left").withColumn("unit", F.coalesce("_alone", F.concat(F.lit("work:"), F.coalesce("_component", "src_doc").cast("string")))).drop("_node", "_component", "_alone")
+    of_work, alone = meta.where("src_doc is not null"), meta.where("src_doc is null")
+    of_work = of_work.join(comp, of_work["src_doc"] == comp["_node"], "left").withColumn("unit", F.concat(F.lit("work:"), F.coalesce("_component", "src_doc").cast("string"))).drop("_node", "_component")
+    look = F.concat(F.lit("look:"), F.sha2(F.when(F.col("_look") != "", F.col("_look")), 256))
+    alone = look_column(alone, "text", "_look").withColumn("unit", F.coalesce(look, F.concat(F.lit("row:"), F.col("doc_id")), F.lit("row:"))).drop("_look")
+    rows = of_work.unionByName(alone)
     sizes = SharedTable(rows.groupBy("unit").count())
     total = sizes.df.agg(F.sum("count")).first()[0] or 0
     heavy = sizes.df.where(F.col("count") >= max(2, math.ceil(HEAVY_SHARE * total))).orderBy(F.desc("count"), "unit").collect()  # at most 1 / HEAVY_SHARE rows
@@ -106,7 +107,8 @@ def assign_splits(meta: DataFrame, stock: DataFrame, shares: dict[str, float], s
         fixed[unit], lacks[s] = s, lacks[s] - n
     rest = {s: max(w, 0.0) for s, w in lacks.items()} if any(w > 0 for w in lacks.values()) else dict(shares)
     draw = rendezvous(F.col("unit"), rest, seed)
-    if fixed:
-        chosen = F.create_map(*[F.lit(x) for kv in fixed.items() for x in kv])
-        draw = F.coalesce(F.try_element_at(chosen, F.col("unit")), draw)
-    return rows.withColumn("split", draw)
+    if not fixed:
+        return rows.withColumn("split", draw)
+    # at most 1 / HEAVY_SHARE rows: small enough to broadcast at any scale
+    chosen = F.broadcast(meta.sparkSession.createDataFrame(list(fixed.items()), "_unit string, _split string"))
+    return rows.join(chosen, F.col("unit") == F.col("_unit"), "left").withColumn("split", F.coalesce("_split", draw)).drop("_unit", "_split")
