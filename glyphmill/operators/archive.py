@@ -16,12 +16,17 @@ from __future__ import annotations
 import zlib
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.tables import SharedTable, shuffle_partitions
+
 #: bytes of a block: well above a file system block, well below a task's memory
 BLOCK_BYTES = 64 << 20
 BUCKET_LINES = 10_000
+#: larger buckets than these are joined by a shuffle
+BROADCAST_BUCKETS = 100_000
 _INDEX = "array<struct<path string, key string, offset bigint, length bigint, crc bigint>>"
 BLOCKS = f"bucket string, block int, records bigint, payload binary, index {_INDEX}"
 RECORDS = "bucket string, path string, key string, bytes binary"
@@ -43,36 +48,58 @@ def bucket_of(key: Column) -> Column:
     return F.coalesce(F.concat(F.when(n < 0, "-").otherwise(""), F.lpad(digits, F.greatest(width, F.length(digits)), "0")), F.lit("00000"))
 
 
-def latest_records(df: DataFrame, key: str, path: str, written: str) -> DataFrame:
-    """(bucket, path, key, bytes): one record for each key, its bytes the row's other columns as JSON
-    (column order kept, nulls kept)."""
-    names = [c for c in df.columns if c != path]
-    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]), {"ignoreNullFields": "false"})
-    d = df.select(F.col(key).alias("key"), F.struct(F.col(written).alias("w"), F.col(path).alias("path"), line.alias("line")).alias("r"))
-    d = d.withColumn("same", F.when(F.col("key").isNull(), F.col("r")))
-    one = d.groupBy("key", "same").agg(F.max("r").alias("r"))
-    return one.select(bucket_of(F.col("key")).alias("bucket"), F.col("r.path").alias("path"), "key", F.encode(F.col("r.line"), "UTF-8").alias("bytes"))
+def rows_of(df: DataFrame, key: str, path: str, written: str) -> DataFrame:
+    """(bucket, key, written, path, bytes): every row with its other columns as one JSON line (column
+    order kept, nulls kept)."""
+    line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != path]), {"ignoreNullFields": "false"})
+    return df.select(bucket_of(F.col(key)).alias("bucket"), F.col(key).alias("key"), F.col(written).cast("timestamp_ntz").alias("written"), F.col(path).alias("path"), F.encode(line, "UTF-8").alias("bytes"))
+
+
+def _drop_older(batches):
+    """Before the shuffle: of a key's rows in a batch, the latest; so a key that holds a third of all rows
+    leaves one row a batch. Rows without a key stay."""
+    for b in batches:
+        key = b.column("key")
+        if b.num_rows and pc.count_distinct(key, mode="only_valid").as_py() + key.null_count < b.num_rows:
+            # by age only: rows as old as the latest stay, the packing decides between them
+            t = b.take(pc.sort_indices(b, [("key", "ascending"), ("written", "descending")], null_placement="at_end"))
+            keep, last, newest = [], None, None
+            for k, w in zip(t.column("key").to_pylist(), t.column("written").to_pylist()):
+                if k is None or k != last:
+                    last, newest = k, w
+                    keep.append(True)
+                else:
+                    keep.append(w == newest)
+            b = t.filter(pa.array(keep))
+        yield b
 
 
 def _pack_partition(block_bytes: int):
     schema = pa.schema([("bucket", pa.string()), ("block", pa.int32()), ("records", pa.int64()), ("payload", pa.binary()), ("index", pa.list_(pa.struct([("path", pa.string()), ("key", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])))])
 
     def block(bucket, number, payload, index):
-        return pa.RecordBatch.from_pylist([{"bucket": bucket, "block": number, "records": len(index), "payload": bytes(payload), "index": index}], schema)
+        columns = list(zip(*index))
+        entry = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema.field("index").type.value_type)], fields=list(schema.field("index").type.value_type))
+        return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([number], pa.int32()), pa.array([len(index)]), pa.array([bytes(payload)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(index)], pa.int32()), entry)], schema=schema)
 
     def run(batches):
-        at, number, payload, index = None, 0, bytearray(), []
+        at, number, payload, index, last = None, 0, bytearray(), [], None
         for b in batches:
-            for bucket, salt, path, key, data in zip(*[c.to_pylist() for c in b.columns]):
-                if index and ((bucket, salt) != at or len(payload) + len(data) > block_bytes):
+            for bucket, salt, key, written, path, data in zip(*[c.to_pylist() for c in b.columns]):
+                this = (bucket, salt)
+                # rows of a key come latest first; those without a key repeat only as a whole
+                what = (bucket, key) if key is not None else (bucket, None, written, path, data)
+                if this == at and what == last:
+                    continue
+                last = what
+                if index and (this != at or len(payload) + len(data) > block_bytes):
                     yield block(at[0], number, payload, index)
                     payload, index = bytearray(), []
-                if (bucket, salt) != at:
-                    number = salt << 12  # a salt's further blocks, if its records exceed the target, follow it
-                elif not index:
                     number += 1
-                at = (bucket, salt)
-                index.append({"path": path, "key": key, "offset": len(payload), "length": len(data), "crc": zlib.crc32(data)})
+                if this != at:
+                    number = salt << 12  # a salt's further blocks, if its records exceed the target, follow it
+                at = this
+                index.append((path, key, len(payload), len(data), zlib.crc32(data)))
                 payload += data
         if index:
             yield block(at[0], number, payload, index)
@@ -80,12 +107,25 @@ def _pack_partition(block_bytes: int):
     return run
 
 
-def pack(records: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks (bucket, block, records, payload, index) of records (bucket, path, key, bytes). Records lie
-    in the order of path and key within a block."""
-    sizes = records.groupBy("bucket").agg(F.ceil(F.sum(F.length("bytes")) / F.lit(block_bytes)).cast("int").alias("n"))
-    salted = records.join(sizes.select(F.col("bucket").alias("_b"), "n"), F.col("bucket") == F.col("_b")).withColumn("salt", F.pmod(F.xxhash64("path", "key"), F.col("n")).cast("int"))
-    put = salted.select("bucket", "salt", "path", "key", "bytes").repartition("bucket", "salt").sortWithinPartitions("bucket", "salt", "path", "key", "bytes")
+def pack(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Blocks (bucket, block, records, payload, index) of rows (bucket, key, written, path, bytes), one
+    record a key, in the order of keys.
+
+    The rows are shuffled once: a key's salt depends on the key, so its rows meet where they are packed,
+    and the latest is chosen there. Salts are needed only in buckets larger than a block; those are few
+    (total size / block size) and joined by broadcast as long as they are."""
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("bytes")) / F.lit(block_bytes)).cast("int").alias("n")).where("n > 1")
+    large = SharedTable(sizes).df
+    found = large.count()
+    d = rows.mapInArrow(_drop_older, rows.schema)
+    if found:
+        large = large.select(F.col("bucket").alias("_b"), "n")
+        d = d.join(F.broadcast(large) if found <= BROADCAST_BUCKETS else large, F.col("bucket") == F.col("_b"), "left")
+        salt = F.pmod(F.when(F.col("key").isNull(), F.xxhash64("bytes")).otherwise(F.xxhash64("key")), F.coalesce("n", F.lit(1))).cast("int")
+    else:
+        salt = F.lit(0)
+    order = ["bucket", "salt", "key", F.desc_nulls_last("written"), F.desc_nulls_last("path"), F.desc("bytes")]
+    put = d.select("bucket", salt.alias("salt"), "key", "written", "path", "bytes").repartition(shuffle_partitions(rows.sparkSession), "bucket", "salt").sortWithinPartitions(*order)
     return put.mapInArrow(_pack_partition(block_bytes), BLOCKS)
 
 
