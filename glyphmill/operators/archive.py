@@ -1,18 +1,27 @@
 """Indexed archive containers for very many small files.
 
-Records (original bytes with the path of the file they stood in) are packed into large blocks. Each
-block holds its bytes and an index of path, key, offset, length and CRC-32 of every record, so that a
-record can be looked up without parsing, blocks can be read in parallel, and the content is proven
-whole when read. A bucket whose bytes exceed the target size is spread over as many blocks by a salt
-of the record's key, so no task ever holds more than one block in memory.
+Records (original bytes with the path of the file they stood in) are packed into large containers. The
+tasks write the containers themselves into the shared folder, so that no payload passes through the
+JVM twice; what they return is a manifest, one small row a container, kept as a Parquet table. Names
+are unique for each attempt of a task and only the manifest tells which count, so a lost executor
+leaves at most a file that nothing refers to.
+
+A container is self-contained: frames of compressed bytes, then an index of path, key, frame, offset,
+length and CRC-32 of every record, then the index's size. A record is found by the index alone and read
+by one frame; containers are read in parallel; every record is checked when read. A bucket whose bytes
+exceed a container is spread over as many by a salt of the record's key, so a task never holds more
+than one frame and one index.
 
 Defined results: of a repeated key the record written last stays (ties: the greatest path, then the
 greatest bytes); records with a null key can't be told apart by key, so each distinct one stays;
-an empty table gives an archive without blocks. Null paths are kept as null.
+an empty table gives an archive without containers. Null paths are kept as null.
 """
 
 from __future__ import annotations
 
+import json
+import struct
+import uuid
 import zlib
 
 import pyarrow as pa
@@ -22,13 +31,13 @@ from pyspark.sql import functions as F
 
 from glyphmill.tables import SharedTable, shuffle_partitions
 
-#: bytes of a block: well above a file system block, well below a task's memory
-BLOCK_BYTES = 64 << 20
+#: bytes of a container before compression, and of a frame
+BLOCK_BYTES, FRAME_BYTES = 64 << 20, 1 << 20
+MAGIC = b"GMARCH01"
 BUCKET_LINES = 10_000
 #: larger buckets than these are joined by a shuffle
 BROADCAST_BUCKETS = 100_000
-_INDEX = "array<struct<path string, key string, offset bigint, length bigint, crc bigint>>"
-BLOCKS = f"bucket string, block int, records bigint, payload binary, index {_INDEX}"
+MANIFEST = "bucket string, block int, file string, records bigint, bytes bigint"
 RECORDS = "bucket string, path string, key string, bytes binary"
 
 
@@ -74,46 +83,132 @@ def _drop_older(batches):
         yield b
 
 
-def _pack_partition(block_bytes: int):
-    schema = pa.schema([("bucket", pa.string()), ("block", pa.int32()), ("records", pa.int64()), ("payload", pa.binary()), ("index", pa.list_(pa.struct([("path", pa.string()), ("key", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])))])
-
-    def block(bucket, number, payload, index):
-        columns = list(zip(*index))
-        entry = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema.field("index").type.value_type)], fields=list(schema.field("index").type.value_type))
-        return pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([number], pa.int32()), pa.array([len(index)]), pa.array([bytes(payload)], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(index)], pa.int32()), entry)], schema=schema)
-
+_INDEX = pa.schema([("path", pa.string()), ("key", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
+
+
+def _file_system(path: str):
+    """(file system, path in it) of a URI or a plain path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+class _Container:
+    """One container being written."""
+
+    def __init__(self, root: str, bucket: str, block: int):
+        fs, at = _file_system(root)
+        self.bucket, self.block = bucket, block
+        self.file = f"{bucket}/{block:08d}-{uuid.uuid4().hex}.gma"
+        fs.create_dir(f"{at}/{bucket}")
+        self.out = fs.open_output_stream(f"{at}/{self.file}", compression=None)
+        self.out.write(MAGIC)
+        self.at, self.bytes = len(MAGIC), 0
+        self.frames: list[tuple[int, int]] = []
+        self.frame = bytearray()
+        self.index: tuple[list, ...] = ([], [], [], [], [], [])
+
+    def add(self, path: str | None, key: str | None, data: bytes) -> None:
+        for column, value in zip(self.index, (path, key, len(self.frames), len(self.frame), len(data), zlib.crc32(data))):
+            column.append(value)
+        self.frame += data
+        self.bytes += len(data)
+        if len(self.frame) >= FRAME_BYTES:
+            self._end_frame()
+
+    def _end_frame(self) -> None:
+        packed = zlib.compress(self.frame, 1)
+        self.out.write(packed)
+        self.frames.append((self.at, len(packed)))
+        self.at += len(packed)
+        self.frame = bytearray()
+
+    def close(self) -> tuple:
+        if self.frame or not self.frames:
+            self._end_frame()
+        table = pa.table([pa.array(c, f.type) for c, f in zip(self.index, _INDEX)], schema=_INDEX.with_metadata({"frames": json.dumps(self.frames), "bucket": self.bucket}))
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(table)
+        footer = sink.getvalue()
+        self.out.write(footer)
+        self.out.write(struct.pack("<Q", footer.size) + MAGIC)
+        self.out.close()
+        return self.bucket, self.block, self.file, len(table), self.bytes
+
+
+def _pack_partition(root: str, block_bytes: int):
     def run(batches):
-        at, number, payload, index, last = None, 0, bytearray(), [], None
+        at, number, last, c = None, 0, None, None
+        done: list[tuple] = []
         for b in batches:
-            for bucket, salt, key, written, path, data in zip(*[c.to_pylist() for c in b.columns]):
+            for bucket, salt, key, written, path, data in zip(*[x.to_pylist() for x in b.columns]):
                 this = (bucket, salt)
                 # rows of a key come latest first; those without a key repeat only as a whole
                 what = (bucket, key) if key is not None else (bucket, None, written, path, data)
                 if this == at and what == last:
                     continue
                 last = what
-                if index and (this != at or len(payload) + len(data) > block_bytes):
-                    yield block(at[0], number, payload, index)
-                    payload, index = bytearray(), []
-                    number += 1
+                if c is not None and (this != at or c.bytes + len(data) > block_bytes):
+                    done.append(c.close())
+                    c, number = None, number + 1
                 if this != at:
-                    number = salt << 12  # a salt's further blocks, if its records exceed the target, follow it
-                at = this
-                index.append((path, key, len(payload), len(data), zlib.crc32(data)))
-                payload += data
-        if index:
-            yield block(at[0], number, payload, index)
+                    at, number = this, salt << 12  # a salt's further containers follow it
+                if c is None:
+                    c = _Container(root, bucket, number)
+                c.add(path, key, data)
+        if c is not None:
+            done.append(c.close())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else [[]] * 5, (pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["bucket", "block", "file", "records", "bytes"])
 
     return run
 
 
-def pack(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks (bucket, block, records, payload, index) of rows (bucket, key, written, path, bytes), one
-    record a key, in the order of keys.
+def _index(stream) -> pa.Table:
+    """The index of an open container."""
+    size = stream.size()
+    tail = stream.read_at(16, size - 16)
+    if tail[8:] != MAGIC:
+        raise ValueError("damaged container: no end mark")
+    n = struct.unpack("<Q", tail[:8])[0]
+    return pa.ipc.open_stream(stream.read_at(n, size - 16 - n)).read_all()
+
+
+def _records(root: str, file: str, pick=None):
+    """Batches of (bucket, path, key, bytes) of a container, a frame each; ``pick`` filters the index."""
+    fs, at = _file_system(root)
+    with fs.open_input_file(f"{at}/{file}") as stream:
+        index = _index(stream)
+        frames, bucket = json.loads(index.schema.metadata[b"frames"]), index.schema.metadata[b"bucket"].decode()
+        if pick is not None:
+            index = pick(index)
+        number = index.column("frame").to_numpy()
+        for f in sorted(set(number.tolist())):
+            start, n = frames[f]
+            try:
+                data = zlib.decompress(stream.read_at(n, start))
+            except zlib.error as e:
+                raise ValueError(f"damaged container {file}: {e}") from None
+            part = index.filter(pa.array(number == f))
+            out = []
+            for key, o, n, crc in zip(part.column("key").to_pylist(), part.column("offset").to_pylist(), part.column("length").to_pylist(), part.column("crc").to_pylist()):
+                piece = data[o : o + n]
+                if len(piece) != n or zlib.crc32(piece) != crc:
+                    raise ValueError(f"damaged record {key} in {file}")
+                out.append(piece)
+            one = part.combine_chunks()
+            get = lambda c, one=one: one.column(c).combine_chunks()
+            path, key = (x if isinstance(x, pa.Array) else pa.concat_arrays(x.chunks) for x in (get("path"), get("key")))
+            yield pa.RecordBatch.from_arrays([pa.array([bucket] * len(out), pa.string()), path, key, pa.array(out, pa.binary())], ["bucket", "path", "key", "bytes"])
+
+
+def write(rows: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Packs rows (bucket, key, written, path, bytes) into containers below ``path``, one record a key, in
+    the order of keys; returns the manifest (bucket, block, file, records, bytes).
 
     The rows are shuffled once: a key's salt depends on the key, so its rows meet where they are packed,
-    and the latest is chosen there. Salts are needed only in buckets larger than a block; those are few
-    (total size / block size) and joined by broadcast as long as they are."""
+    and the latest is chosen there. Salts are needed only in buckets larger than a container; those are
+    few (total size / container size) and joined by broadcast as long as they are."""
     sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("bytes")) / F.lit(block_bytes)).cast("int").alias("n")).where("n > 1")
     large = SharedTable(sizes).df
     found = large.count()
@@ -126,50 +221,53 @@ def pack(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         salt = F.lit(0)
     order = ["bucket", "salt", "key", F.desc_nulls_last("written"), F.desc_nulls_last("path"), F.desc("bytes")]
     put = d.select("bucket", salt.alias("salt"), "key", "written", "path", "bytes").repartition(shuffle_partitions(rows.sparkSession), "bucket", "salt").sortWithinPartitions(*order)
-    return put.mapInArrow(_pack_partition(block_bytes), BLOCKS)
+    put.mapInArrow(_pack_partition(path, block_bytes), MANIFEST).write.parquet(f"{path}/_manifest")
+    return open_archive(rows.sparkSession, path)
 
 
-def write(blocks: DataFrame, path: str) -> None:
-    """Writes blocks as one folder a bucket, one file for each block or run of blocks of a task."""
-    blocks.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+def open_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest of a written archive, with the archive's folder as ``root``."""
+    return spark.read.schema(MANIFEST).parquet(f"{path}/_manifest").withColumn("root", F.lit(path))
 
 
-def open_archive(spark: SparkSession, path: str) -> DataFrame:
-    """The blocks of a written archive."""
-    return spark.read.schema(BLOCKS).option("basePath", path).parquet(path).select("bucket", "block", "records", "payload", "index")
+def _spread(manifest: DataFrame) -> DataFrame:
+    """A row a container, over all tasks."""
+    return manifest.select("root", "file").repartition(shuffle_partitions(manifest.sparkSession), "file")
 
 
-def _unpack(batches):
-    for b in batches:
-        for bucket, payload, index in zip(*[c.to_pylist() for c in b.columns]):
-            rows = []
-            for e in index:
-                data = payload[e["offset"] : e["offset"] + e["length"]]
-                if len(data) != e["length"] or zlib.crc32(data) != e["crc"]:
-                    raise ValueError(f"damaged record {e['key']} in bucket {bucket}")
-                rows.append({"bucket": bucket, "path": e["path"], "key": e["key"], "bytes": data})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("bucket", pa.string()), ("path", pa.string()), ("key", pa.string()), ("bytes", pa.binary())]))
-
-
-def unpack(blocks: DataFrame) -> DataFrame:
-    """All records of blocks, each checked against its length and checksum."""
-    return blocks.select("bucket", "payload", "index").mapInArrow(_unpack, RECORDS)
-
-
-def lookup(blocks: DataFrame, path: str | None = None, key: str | None = None) -> DataFrame:
-    """Records of one path, one key or both, cut out of their blocks by the index alone."""
-    d = blocks.select("bucket", "payload", F.explode("index").alias("e"))
-    if path is not None:
-        d = d.where(F.col("e.path") == path)
+def unpack(manifest: DataFrame) -> DataFrame:
+    """All records of an archive, each checked against its length and checksum."""
+    def run(batches):
+        for b in batches:
+            for root, file in zip(*[c.to_pylist() for c in b.columns]):
+                yield from _records(root, file)
+
+    return _spread(manifest).mapInArrow(run, RECORDS)
+
+
+def lookup(manifest: DataFrame, path: str | None = None, key: str | None = None) -> DataFrame:
+    """Records of one path, one key or both: the indexes are searched, and only frames with a hit read."""
     if key is not None:
-        d = d.where(F.col("bucket") == bucket_of(F.lit(key))).where(F.col("e.key") == key)
-    return d.select("bucket", "e.path", "e.key", F.expr("substring(payload, int(e.offset) + 1, int(e.length))").alias("bytes"))
+        manifest = manifest.where(F.col("bucket") == bucket_of(F.lit(key)))
+
+    def pick(index: pa.Table) -> pa.Table:
+        for name, value in (("path", path), ("key", key)):
+            if value is not None:
+                index = index.filter(pc.equal(index.column(name), value))
+        return index
+
+    def run(batches):
+        for b in batches:
+            for root, file in zip(*[c.to_pylist() for c in b.columns]):
+                yield from _records(root, file, pick)
+
+    return _spread(manifest).mapInArrow(run, RECORDS)
 
 
-def layout(files: DataFrame, blocks: DataFrame) -> DataFrame:
+def layout(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """(bucket, files_before, bytes_before, blocks, records, bytes): each bucket before and after. Files
     listed twice count once; a null bucket before is that of the path's folder."""
     folder = F.nullif(F.element_at(F.split("path", "/"), -2), F.lit(""))
     before = files.where("path is not null").groupBy("path").agg(F.max("bucket").alias("bucket"), F.max("n_bytes").alias("n_bytes")).groupBy(F.coalesce("bucket", folder).alias("bucket")).agg(F.count("*").alias("files_before"), F.sum("n_bytes").alias("bytes_before"))
-    after = blocks.groupBy("bucket").agg(F.count("*").alias("blocks"), F.sum("records").alias("records"), F.sum(F.length("payload")).cast("bigint").alias("bytes"))
+    after = manifest.groupBy("bucket").agg(F.count("*").alias("blocks"), F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
     return before.join(after, "bucket", "full").select("bucket", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("files_before", "bytes_before", "blocks", "records", "bytes")])

@@ -12,11 +12,9 @@ from glyphmill.tables import shared_dir, table
 
 
 def _consolidated(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of meta as written to the shared folder."""
+    """The archive of meta, written to the shared folder."""
     rows = archive.rows_of(table(spark, d, "meta"), "doc_id", "part_file", "written_at")
-    path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
-    archive.write(archive.pack(rows), path)
-    return archive.open_archive(spark, path)
+    return archive.write(rows, f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
