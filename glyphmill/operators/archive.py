@@ -58,10 +58,14 @@ def bucket_of(key: Column) -> Column:
 
 
 def rows_of(df: DataFrame, key: str, path: str, written: str) -> DataFrame:
-    """(bucket, key, written, path, bytes): every row with its other columns as one JSON line (column
-    order kept, nulls kept)."""
+    """(bucket, key, written, path, bytes, size): every row with its other columns as one JSON line (column
+    order kept, nulls kept); ``size`` is about its length, known without building it."""
     line = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != path]), {"ignoreNullFields": "false"})
-    return df.select(bucket_of(F.col(key)).alias("bucket"), F.col(key).alias("key"), F.col(written).cast("timestamp_ntz").alias("written"), F.col(path).alias("path"), F.encode(line, "UTF-8").alias("bytes"))
+    size = F.lit(0)
+    for name, kind in df.dtypes:
+        if name != path:
+            size = size + len(name) + (F.coalesce(F.octet_length(f"`{name}`"), F.lit(4)) + 6 if kind == "string" else F.lit(16))
+    return df.select(bucket_of(F.col(key)).alias("bucket"), F.col(key).alias("key"), F.col(written).cast("timestamp_ntz").alias("written"), F.col(path).alias("path"), F.encode(line, "UTF-8").alias("bytes"), size.cast("bigint").alias("size"))
 
 
 def _drop_older(batches):
@@ -203,15 +207,16 @@ def _records(root: str, file: str, pick=None):
 
 
 def write(rows: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Packs rows (bucket, key, written, path, bytes) into containers below ``path``, one record a key, in
+    """Packs rows (bucket, key, written, path, bytes, size) into containers below ``path``, one record a key, in
     the order of keys; returns the manifest (bucket, block, file, records, bytes).
 
     The rows are shuffled once: a key's salt depends on the key, so its rows meet where they are packed,
     and the latest is chosen there. Salts are needed only in buckets larger than a container; those are
     few (total size / container size) and joined by broadcast as long as they are."""
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum(F.length("bytes")) / F.lit(block_bytes)).cast("int").alias("n")).where("n > 1")
+    sizes = rows.groupBy("bucket").agg(F.ceil(F.sum("size") / F.lit(block_bytes)).cast("int").alias("n")).where("n > 1")
     large = SharedTable(sizes).df
     found = large.count()
+    rows = rows.drop("size")
     d = rows.mapInArrow(_drop_older, rows.schema)
     if found:
         large = large.select(F.col("bucket").alias("_b"), "n")
