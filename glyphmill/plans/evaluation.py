@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from glyphmill.functions.text import derive_seed, presentation
 from glyphmill.operators import alignment, control, ctc, imaging, metrics, model, shards
 from glyphmill.plans.vocabulary import fold_sql, tokens_sql
 from glyphmill.sources import columns, tarshard
@@ -150,6 +151,22 @@ def ink_crop(spark, d):
     return c.select("idx", "ord", F.col("c.h").alias("h"), F.col("c.w").alias("w"), F.col("t.h").alias("tight_h"), F.col("t.w").alias("tight_w"))
 
 
+def page_boxes(spark, d):
+    """Detection rows: the lines of each column set on a page of 800 by 600, with their texts."""
+    lab = table(spark, d, "column_labels").where("size(line_texts) > 0").dropDuplicates(["idx"])
+    sizes = F.transform("line_texts", lambda t: F.struct((20 * F.char_length(F.coalesce(t, F.lit("")))).alias("h"), F.lit(60).alias("w")))
+    p = imaging.page_boxes(lab.select("idx", "line_texts", sizes.alias("sizes")), "sizes", derive_seed(3, F.col("idx")), 800, 600)
+    b = imaging.labelled_boxes(F.col("boxes"), F.col("line_texts"), F.transform("line_texts", lambda t: presentation(t)))
+    return p.select("idx", F.inline(b)).select("idx", "x", "w", "h", "text", "render_text")
+
+
+def rendered_status(spark, d):
+    """Outcomes of rendering: strips that hold a line, and those too small."""
+    s = F.when(imaging.renderable(F.col("c")), "ok").otherwise("empty")
+    c = _column_images(spark, d).select(imaging.image_udf(imaging.tight_crop)(F.col("image")).alias("c"))
+    return c.groupBy(s.alias("status")).agg(F.count("*").alias("n"))
+
+
 def read_columns_model(spark, d):
     """Untrained recognition of each line: the plumbing of a model's batch inference."""
     from glyphmill.operators.alphabet import Alphabet
@@ -203,7 +220,7 @@ def column_dir_roundtrip(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (ocr_scored, ocr_report, ocr_report_by_font, cer_distribution, key_alignment, alignment_counts, alignment_distance, substitutions, confusion_pairs, confusion_pooled, pair_membership, ctc_collapse, ctc_loss, moving_average, ink_span, best_cut, stack_columns, tile_columns, ink_crop,
+    for f in (ocr_scored, ocr_report, ocr_report_by_font, cer_distribution, key_alignment, alignment_counts, alignment_distance, substitutions, confusion_pairs, confusion_pooled, pair_membership, ctc_collapse, ctc_loss, moving_average, ink_span, best_cut, stack_columns, tile_columns, ink_crop, page_boxes, rendered_status,
               read_columns_model, param_counts, matched_hidden, lr_warmup, control_machine, tar_roundtrip, column_dir_roundtrip)
 }
 
@@ -239,6 +256,13 @@ SQL = {
     "ink_span": "select vec_id, min(i) filter (v > 0.3 * top)::int as first, max(i) filter (v > 0.3 * top)::int as last from (select vec_id, i - 1 as i, abs(e[i]) as v, list_max(list_transform(e, lambda x: abs(x))) as top from (select vec_id, embedding::double[] as e, unnest(range(1, len(embedding) + 1)) as i from embeddings)) group by vec_id",
     "best_cut": "select vec_id, (list_position(embedding[13:29], list_max(embedding[13:29])) + 11)::bigint as cut from embeddings where len(embedding) >= 29",
     "stack_columns": f"with {_LAB} select idx, (60 * k + 20 * (k - 1))::int as h, (40 + 2 * m)::int as w from im",
+    "page_boxes": f"""with {_LAB}, t as (select idx, unnest(line_texts) as text, unnest(range(0, len(line_texts))) as i from lab),
+      z as (select *, case when text is null then null when text = '' then '' else (select string_agg(case when c = chr(6158) and not (a in (chr(6176), chr(6177)) and not coalesce(unicode(b) between 6176 and 6314 and b <> '', false)) then ' ' else c end, '' order by k)
+        from (select k, substr(text, k, 1) as c, substr(text, k + 1, 1) as a, substr(text, k + 2, 1) as b from (select unnest(range(1, length(text) + 1)) as k))) end as render_text, 20 * length(coalesce(text, '')) as hh from t),
+      y as (select *, case when hh > 540 then greatest(1, floor(60 * (540.0::double / hh))::int) else 60 end as w, least(hh, 540) as h from z),
+      x as (select *, 30 + coalesce(sum(w + 18) over (partition by idx order by i rows between unbounded preceding and 1 preceding), 0) as x from y)
+      select idx, x::int as x, w::int as w, h::int as h, text, render_text from x where x + w + 30 <= 800""",
+    "rendered_status": f"with {_LAB} select 'ok' as status, sum(len(line_texts))::bigint as n from lab having count(*) > 0",
     "param_counts": "select mode, hidden::bigint as hidden, params::bigint as params from (values ('mean', 384, 6378278), ('concat', 384, 8737574), ('concat_proj', 384, 6640678), ('mean_big', 462, 8747918)) t(mode, hidden, params)",
     "matched_hidden": """with p as (select n, w, (w + 15) // 16 as rw from (select unnest([100, 614, 2000]) as n) cross join (select unnest([32, 64, 96]) as w)),
       g as (select *, 8 * 384 * (256 * rw + 386) + 8 * 384 * (768 + 386) + (2 * 384 + 1) * n as goal, 2080 + 2 * n as b from p)

@@ -54,6 +54,12 @@ def control_stream(evals: DataFrame, base_lr: float) -> DataFrame:
     return d.groupBy("run").applyInPandasWithState(fold, RUN, "lr double, best double, no_improve int, low double, bad int, stopped boolean", "append", "NoTimeout")
 
 
+def observed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` that reports its rows (and bad ones, if it has ``_error``) as it runs, to listeners."""
+    bad = [F.count_if(F.col("_error").isNotNull()).alias("n_errors")] if "_error" in df.columns else []
+    return df.observe(name, F.count(F.lit(1)).alias("n_rows"), *bad)
+
+
 def append_lines(stream: DataFrame, path: str, checkpoint: str):
     """Writes a stream by bucket as Parquet, once for each row: resumes from its checkpoint."""
     return stream.writeStream.partitionBy("bucket").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
