@@ -1,7 +1,7 @@
 """Pairs of keys whose values look the same but are written differently.
 
 Values meet by the 128-bit key of their consistent form (look.py). Only looks that occur in several
-spellings stay (a min and max of the spelling's hash, pre-aggregated), so the common case of one
+spellings stay (a min and max of the spelling's hashes, pre-aggregated), so the common case of one
 spelling costs one small row. Keys of such looks are paired across spellings; AQE splits a look that
 holds many keys.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.llm.look import Speller, look_list_array
 from glyphmill.llm.splits import look_key, looks
+from glyphmill.tables import SharedTable
 
 
 def list_looks(df: DataFrame, key: str, lists: str) -> DataFrame:
@@ -36,10 +37,10 @@ def raw_list_array(array: pa.ListArray) -> pa.Array:
 def pairs(values: DataFrame) -> DataFrame:
     """(key_a, key_b) of distinct keys with the same ``look`` and different ``raw``; ``values`` has key,
     look and raw. A key with several values takes part with each."""
-    v = values.select("key", *look_key(), F.xxhash64("raw").alias("r1"), F.xxhash64(F.lit(7), "raw").alias("r2")).distinct()
-    raw = F.struct("r1", "r2")
-    several = v.groupBy("k1", "k2").agg(F.min(raw).alias("a"), F.max(raw).alias("b")).where("a <> b").select("k1", "k2")
-    some = v.join(several, ["k1", "k2"])
+    v = SharedTable(values.select("key", *look_key(), F.xxhash64("raw").alias("r1"), F.xxhash64(F.lit(7), "raw").alias("r2"))).df
+    extremes = [f(r).alias(f"{n}{r}") for r in ("r1", "r2") for n, f in (("lo", F.min), ("hi", F.max))]
+    several = v.groupBy("k1", "k2").agg(*extremes).where("lor1 <> hir1 or lor2 <> hir2").select("k1", "k2")
+    some = v.join(several, ["k1", "k2"]).distinct()
     a = some.select("k1", "k2", F.col("key").alias("key_a"), F.struct("r1", "r2").alias("ra"))
     b = some.select("k1", "k2", F.col("key").alias("key_b"), F.struct("r1", "r2").alias("rb"))
     return a.join(b, ["k1", "k2"]).where("key_a < key_b and ra <> rb").select("key_a", "key_b").distinct()
