@@ -103,8 +103,8 @@ def build_columns(spark, args) -> DataFrame:
     s = _samples(spark, args).where(_bands(args) == args.split)
     s = s.withColumn("image", columns.decoded("png")).where("image.data is not null")
     r = runs.runs(quality.require_rows(s, "samples"), [F.col("shard"), F.col("pos")], "src_doc")
-    lengths = runs.eligible(runs.run_lengths(r, "src_doc"), args.lines_min).orderBy(F.desc("n"), "run").limit(1_000_000)
-    plan = spark.createDataFrame(runs.column_plan([(x["run"], x["n"]) for x in lengths.select("run", "n").collect()], args.columns, args.lines_min, args.lines_max, args.seed), "idx int, run bigint, start bigint, k int")
+    able = runs.seeded_runs(runs.run_lengths(r, "src_doc"), args.lines_min, args.columns, args.seed)
+    plan = spark.createDataFrame(runs.column_plan(able, args.columns, args.lines_min, args.lines_max, args.seed), "idx int, run bigint, start bigint, k int")
     cols = runs.columns(r, plan)
     want = plan.select("idx", "run", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("k") - 1)).alias("ord"))
     img = imaging.stack_groups(r.select("run", "ord", "image").join(want, ["run", "ord"]), "idx", "ord", "image", args.line_gap)

@@ -11,7 +11,6 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions.distance import upper_median
 from glyphmill.operators.order import numbered
 from glyphmill.tables import SharedTable
 
@@ -57,17 +56,20 @@ def eligible(lengths: DataFrame, least: int) -> DataFrame:
     return lengths.where(F.col("n") >= least)
 
 
-def column_plan(lengths: list[tuple[int, int]], n_columns: int, lo: int, hi: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(column, run, start, k): windows drawn with one seeded stream, which shuffles the eligible runs
-    once and then visits them in turn. Only run lengths are needed; a run longer than ``hi`` draws its
-    start after its size."""
+def seeded_runs(lengths: DataFrame, least: int, n_columns: int, seed: int) -> list[tuple[int, int]]:
+    """(run, n) of the eligible runs in a seeded order, as many as columns are wanted: runs are visited
+    in turn, so no others can be used."""
+    order = F.xxhash64(F.lit(seed), F.col("run"))
+    return [(r["run"], r["n"]) for r in eligible(lengths, least).orderBy(order, "run").limit(n_columns).select("run", "n").collect()]
+
+
+def column_plan(able: list[tuple[int, int]], n_columns: int, lo: int, hi: int, seed: int) -> list[tuple[int, int, int, int]]:
+    """(column, run, start, k): windows drawn with one seeded stream; runs of at least ``lo`` lines are
+    visited in turn in their given order. The window's size is drawn before its start."""
     rng = random.Random(seed)
-    able = [(r, n) for r, n in sorted(lengths) if n >= lo]
-    if not able:
-        return []
-    rng.shuffle(able)
+    able = [(r, n) for r, n in able if n >= lo]
     plan = []
-    for i in range(n_columns):
+    for i in range(n_columns if able else 0):
         r, n = able[i % len(able)]
         k = rng.randint(lo, min(hi, n))
         plan.append((i, r, rng.randint(0, n - k), k))
@@ -83,5 +85,3 @@ def columns(numbered_runs: DataFrame, plan: DataFrame, text: str = "text") -> Da
     lines = F.transform(F.array_sort(F.collect_list(F.struct("ord", "_t"))), lambda x: x["_t"])
     return got.groupBy("idx", "run").agg(F.count("*").alias("n_lines"), lines.alias("line_texts")).withColumn("text", F.array_join("line_texts", " "))
 
-
-__all__ = ["column_plan", "columns", "eligible", "length_stats", "run_lengths", "runs", "upper_median"]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from glyphmill.functions.text import derive_seed, presentation
+from glyphmill.functions.text import chars, derive_seed, nominal_fold, presentation
 from glyphmill.operators import alignment, control, ctc, imaging, metrics, model, shards
 from glyphmill.plans.vocabulary import fold_sql, tokens_sql
 from glyphmill.sources import columns, tarshard
@@ -67,6 +67,14 @@ def confusion_pooled(spark, d):
     return alignment.pooled(confusion_pairs(spark, d))
 
 
+def confusion_in_place(spark, d):
+    """Directed pairs of texts whose edits are replacements only, so that the alignment is by position."""
+    r, p = nominal_fold(F.coalesce("ref", F.lit(""))), nominal_fold(F.coalesce("pred", F.lit("")))
+    away = F.aggregate(F.zip_with(chars(r), chars(p), lambda a, b: F.when(a == b, 0).otherwise(1)), F.lit(0), lambda s, x: s + x)
+    same = table(spark, d, "predictions").where((F.char_length(r) == F.char_length(p)) & (F.levenshtein(r, p) == away))
+    return alignment.substitutions(alignment.aligned(same))
+
+
 def pair_membership(spark, d):
     letters = alignment.pair_table(spark).select(F.explode(F.array("a", "b")).alias("ch")).distinct()
     return alignment.occurrences(table(spark, d, "predictions")).join(F.broadcast(letters), "ch", "left_semi")
@@ -220,7 +228,7 @@ def column_dir_roundtrip(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (ocr_scored, ocr_report, ocr_report_by_font, cer_distribution, key_alignment, alignment_counts, alignment_distance, substitutions, confusion_pairs, confusion_pooled, pair_membership, ctc_collapse, ctc_loss, moving_average, ink_span, best_cut, stack_columns, tile_columns, ink_crop, page_boxes, rendered_status,
+    for f in (ocr_scored, ocr_report, ocr_report_by_font, cer_distribution, key_alignment, alignment_counts, alignment_distance, substitutions, confusion_pairs, confusion_pooled, confusion_in_place, pair_membership, ctc_collapse, ctc_loss, moving_average, ink_span, best_cut, stack_columns, tile_columns, ink_crop, page_boxes, rendered_status,
               read_columns_model, param_counts, matched_hidden, lr_warmup, control_machine, tar_roundtrip, column_dir_roundtrip)
 }
 
@@ -251,6 +259,8 @@ SQL = {
     "key_alignment": "select count(*) filter (p is null) as only_ref, count(*) filter (r is null) as only_pred, count(*) filter (p is not null and r is not null) as both from (select distinct doc_id as k, 1 as r from meta where doc_id is not null) a full join (select distinct key as k, 1 as p from predictions where key is not null) b using (k)",
     "alignment_distance": f"with {_SC}, q as (select x.key, x.r, x.p, {_dist('cfp', 'cfr')} as dist from x) select pr.key, pr.ref, pr.pred, dist from predictions pr join (select distinct key, r, p, dist from q) q on pr.key is not distinct from q.key and coalesce(pr.ref, '') = q.r and coalesce(pr.pred, '') = q.p",
     "pair_membership": f"select ch, count(*) as n from (select unnest(regexp_extract_all({fold_sql('ref')}, '(?s).')) as ch from predictions) where ch in {_LETTERS} group by ch",
+    "confusion_in_place": f"with {_SC}, q as (select cfr, cfp, {_dist('cfp', 'cfr')} as dist from x where len(cfr) = len(cfp)), w as (select cfr, cfp, dist, unnest(range(1, len(cfr) + 1)) as i from (select *, len(list_filter(range(1, len(cfr) + 1), lambda j: cfr[j] <> cfp[j])) as away from q) where away = dist) select cfr[i] as r, cfp[i] as h, count(*) as n from w where cfr[i] <> cfp[i] group by 1, 2",
+    "ink_crop": "with lab as (select idx, any_value(line_texts) as t from (select * from column_labels where len(line_texts) > 0) group by idx), k as (select idx, unnest(range(0, len(t))) as o, length(coalesce(unnest(t), '')) as k from lab) select idx, o::int as ord, 46::int as h, (36 + k)::int as w, 42::int as tight_h, (32 + k)::int as tight_w from k",
     "ctc_collapse": f"with {_FR} select vec_id, array_to_string(ids, ' ') as ids, coalesce(array_to_string(list_transform(list_filter(range(1, len(ids) + 1), lambda i: ids[i] <> 7 and (i = 1 or ids[i] <> ids[i - 1])), lambda i: ids[i]), ' '), '') as decoded from fi",
     "moving_average": "select vec_id, (i - 1)::int as i, round((coalesce(e[i - 2], 0) * (i > 2)::int + coalesce(e[i - 1], 0) * (i > 1)::int + e[i] + coalesce(e[i + 1], 0) + coalesce(e[i + 2], 0)) / 5, 6) as v from (select vec_id, embedding::double[] as e, unnest(range(1, len(embedding) + 1)) as i from embeddings)",
     "ink_span": "select vec_id, min(i) filter (v > 0.3 * top)::int as first, max(i) filter (v > 0.3 * top)::int as last from (select vec_id, i - 1 as i, abs(e[i]) as v, list_max(list_transform(e, lambda x: abs(x))) as top from (select vec_id, embedding::double[] as e, unnest(range(1, len(embedding) + 1)) as i from embeddings)) group by vec_id",

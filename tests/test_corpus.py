@@ -85,12 +85,15 @@ def test_runs(spark):
 
 def test_column_plan_and_build(spark):
     plan = runs.column_plan([(0, 3), (1, 10)], 5, 5, 8, 1)
-    assert plan == runs.column_plan([(1, 10), (0, 3)], 5, 5, 8, 1) and all(r == 1 and 5 <= k <= 8 and 0 <= s <= 10 - k for _, r, s, k in plan)
+    assert plan == runs.column_plan([(1, 10)], 5, 5, 8, 1) and all(r == 1 and 5 <= k <= 8 and 0 <= s <= 10 - k for _, r, s, k in plan)
     df = spark.createDataFrame([(i, 7, f"L{i}") for i in range(10)], "i bigint, k bigint, text string")
     r = runs.runs(df, [F.col("i")], "k")
     c = runs.columns(r, spark.createDataFrame([(0, 0, 2, 5)], "idx int, run bigint, start bigint, k int")).first()
     assert c["text"] == "L2 L3 L4 L5 L6" and c["n_lines"] == 5
     assert runs.column_plan([(0, 2)], 5, 5, 8, 1) == []
+    lengths = spark.createDataFrame([(i, i % 9) for i in range(50)], "run bigint, n bigint")
+    a, b = runs.seeded_runs(lengths, 5, 7, 1), runs.seeded_runs(lengths.repartition(3), 5, 7, 1)
+    assert a == b and len(a) == 7 and all(n >= 5 for _, n in a) and a != runs.seeded_runs(lengths, 5, 7, 2)
 
 
 def test_pages(spark):
