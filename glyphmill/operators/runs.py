@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.operators.order import numbered
-from glyphmill.tables import SharedTable
 
 
 def runs(df: DataFrame, order: list[Column], key: str, block: int = 1_000_000) -> DataFrame:
@@ -21,7 +20,7 @@ def runs(df: DataFrame, order: list[Column], key: str, block: int = 1_000_000) -
 
     Positions are cut into blocks of ``block`` rows; windows run within a block, and one row a block
     carries what came before, so no task sees more than a block."""
-    d = SharedTable(numbered(df, order, "pos").withColumn("_b", F.floor(F.col("pos") / block))).df
+    d = numbered(df, order, "pos").withColumn("_b", F.floor(F.col("pos") / block))
     w = Window.partitionBy("_b").orderBy("pos")
     last = d.groupBy("_b").agg(F.max_by(F.struct(F.col(key).alias("k")), "pos").alias("_last")).select((F.col("_b") + 1).alias("_b"), "_last")
     d = d.join(last, "_b", "left")
