@@ -217,8 +217,9 @@ def write(rows: DataFrame, path: str, block_bytes: int = BLOCK_BYTES) -> DataFra
     large = SharedTable(sizes).df
     found = large.count()
     rows = rows.drop("size")
-    d = rows.mapInArrow(_drop_older, rows.schema)
-    if found:
+    d = rows
+    if found:  # else no key can have many rows
+        d = d.mapInArrow(_drop_older, rows.schema)
         large = large.select(F.col("bucket").alias("_b"), "n")
         d = d.join(F.broadcast(large) if found <= BROADCAST_BUCKETS else large, F.col("bucket") == F.col("_b"), "left")
         salt = F.pmod(F.when(F.col("key").isNull(), F.xxhash64("bytes")).otherwise(F.xxhash64("key")), F.coalesce("n", F.lit(1))).cast("int")
