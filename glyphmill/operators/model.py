@@ -11,6 +11,8 @@ STEM = (1, 32, 64, 128, 256)
 STRIDES = ((2, 2), (2, 2), (1, 2), (1, 2))
 MODES = ("mean", "concat", "concat_proj", "mean_big")
 BLANK_BIAS = -3.0
+#: Images of a forward pass: at 1024 x 64 and hidden 384 a process takes about 240 MB, with 32 images 780 MB.
+BATCH = 8
 
 
 def reduced_width(w: int) -> int:
@@ -144,7 +146,7 @@ def forward(weights: dict[str, np.ndarray], images: np.ndarray, mode: str = "mea
 
 def predict(df, image: str, weights: dict[str, np.ndarray], alphabet, h: int, w: int, mode: str = "mean"):
     """``df`` with pred: images read as text by forward and greedy decoding. Weights (of a fixed size) are
-    broadcast; batches are as large as Arrow's."""
+    broadcast; ``BATCH`` images go through at once, which bounds a worker's memory."""
     import pandas as pd
     from pyspark.sql import types as T
 
@@ -155,8 +157,8 @@ def predict(df, image: str, weights: dict[str, np.ndarray], alphabet, h: int, w:
 
     def run(batches):
         for b in batches:
-            for at in range(0, len(b), 32):
-                part = b.iloc[at : at + 32]
+            for at in range(0, len(b), BATCH):
+                part = b.iloc[at : at + BATCH]
                 ids = forward(shared.value, np.stack([model_input(unpack(i), h, w) for i in part[image]]), mode).argmax(axis=2)
                 keep = (ids != blank) & np.concatenate([np.ones((len(ids), 1), bool), ids[:, 1:] != ids[:, :-1]], axis=1)
                 yield part.assign(pred=pd.Series(["".join(names[i] for i in r[k]) for r, k in zip(ids, keep)], index=part.index, dtype=object))

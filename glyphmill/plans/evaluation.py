@@ -12,9 +12,10 @@ from pyspark.sql.functions import pandas_udf
 
 from glyphmill.functions.text import chars, derive_seed, nominal_fold, presentation
 from glyphmill.operators import alignment, control, ctc, imaging, metrics, model, shards
-from glyphmill.plans.vocabulary import fold_sql, tokens_sql
+from glyphmill.operators.alphabet import Alphabet, histogram
+from glyphmill.plans.vocabulary import MIN_COUNT, fold_sql, tokens_sql
 from glyphmill.sources import columns, tarshard
-from glyphmill.tables import local_path, shared_dir, table
+from glyphmill.tables import local_path, shared_dir, shuffle_partitions, table
 
 
 def _scored(spark, d) -> DataFrame:
@@ -176,11 +177,12 @@ def rendered_status(spark, d):
 
 
 def read_columns_model(spark, d):
-    """Untrained recognition of each line: the plumbing of a model's batch inference."""
-    from glyphmill.operators.alphabet import Alphabet
-
-    a = Alphabet(tuple("abcdefg"))
-    return model.predict(_column_images(spark, d).where("ord = 0"), "image", model.init(a.n_classes, 8, seed=3), a, 32, 64).select("idx", F.char_length("pred").alias("n_chars"))
+    """Untrained recognition of each line at production sizes: the plumbing of a model's batch inference.
+    Lines are spread first, as their labels are few bytes beside the work that they cause."""
+    a = Alphabet.from_counts(histogram(table(spark, d, "meta")), MIN_COUNT)
+    hidden, mode, w = model.resolve_arch(None)
+    each = _column_images(spark, d).repartition(shuffle_partitions(spark), "idx", "ord")
+    return model.predict(each, "image", model.init(a.n_classes, hidden, mode, w, seed=3), a, 1024, w, mode).select("idx", "ord", F.char_length("pred").alias("n_chars"))
 
 
 def param_counts(spark, d):

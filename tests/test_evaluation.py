@@ -174,3 +174,22 @@ def test_predict(spark):
     df = spark.createDataFrame([(1, img), (2, img)], f"idx int, image {imaging.IMAGE}")
     got = model.predict(df, "image", model.init(3, 4), a, 32, 64).collect()
     assert len(got) == 2 and got[0]["pred"] == got[1]["pred"] and set(got[0]["pred"]) <= {"a", "b"}
+
+
+def test_read_columns_model_reads_every_line_at_production_size(spark, tmp_path, monkeypatch):
+    from glyphmill.plans import evaluation
+
+    spark.createDataFrame([(1, ["ab", None, "abcabc"]), (2, ["b"]), (3, [])], "idx int, line_texts array<string>").write.parquet(f"{tmp_path}/column_labels.parquet")
+    spark.createDataFrame([("abc" * 10,), ("z",)], "text string").write.parquet(f"{tmp_path}/meta.parquet")
+    seen, predict = [], model.predict
+    monkeypatch.setattr(model, "predict", lambda df, image, w, a, *size: seen.append((w, a, size)) or predict(df, image, w, a, *size))
+    got = {(r["idx"], r["ord"]): r["n_chars"] for r in evaluation.read_columns_model(spark, str(tmp_path)).collect()}
+    (w, a, (height, width, mode)), = seen
+    assert (a.chars, height, width, mode, w["wh0f"].shape[1]) == (("a", "b", "c"), 1024, 64, "mean", 384)
+    want = {}
+    for at, k in {(1, 0): 2, (1, 1): 0, (1, 2): 6, (2, 0): 1}.items():
+        strip = np.full((60, 40 + 2 * k), 240, np.uint8)
+        strip[15:45, 10 : 30 + k] = 30
+        ids = model.forward(w, imaging.model_input(strip, 1024, 64)[None]).argmax(axis=2)[0]
+        want[at] = sum(x != a.blank and (i == 0 or x != ids[i - 1]) for i, x in enumerate(ids))
+    assert got == want
