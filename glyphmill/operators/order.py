@@ -32,6 +32,12 @@ def seeded(df: DataFrame, key: Column, seed: int) -> DataFrame:
     return df.withColumn("__draw", F.xxhash64(F.lit(seed), key)).orderBy("__draw", key).drop("__draw")
 
 
+def seeded_positions(df: DataFrame, key: Column, seed: int, name: str = "pos") -> DataFrame:
+    """``df`` with the 0-based position of each row in the order of ``seeded``."""
+    drawn = df.withColumn("__draw", F.xxhash64(F.lit(seed), key)).withColumn("__key", key)
+    return numbered(drawn, [F.col("__draw"), F.col("__key")], name).drop("__draw", "__key")
+
+
 def batches(df: DataFrame, order: list[Column], size: int, partial: bool) -> DataFrame:
     """``df`` with its batch number; without ``partial`` the ragged last batch is dropped."""
     d = numbered(df, order, "__pos").withColumn("batch", F.floor(F.col("__pos") / size).cast("bigint"))

@@ -196,8 +196,8 @@ def sample_keys(spark, d):
 
 
 def seeded_order(spark, d):
-    """The first hundred labels of a seeded shuffle."""
-    return order.seeded(table(spark, d, "meta").select("doc_id").distinct(), F.col("doc_id"), 3).limit(100)
+    """Every label with its position in a seeded shuffle."""
+    return order.seeded_positions(table(spark, d, "meta").select("doc_id").distinct(), F.col("doc_id"), 3)
 
 
 def batching(spark, d):

@@ -50,6 +50,19 @@ def test_numbering_batches_strides(spark):
     assert a == [r["v"] for r in order.seeded(df.repartition(7), F.col("v"), 1).collect()] and a != b and sorted(a) == sorted(b)
 
 
+def test_seeded_order_has_every_key_in_the_order_of_the_shuffle(spark, tmp_path):
+    from glyphmill.plans import corpus
+
+    spark.range(500).selectExpr("concat('d', id % 250) as doc_id").unionAll(spark.createDataFrame([(None,)], "doc_id string")).write.parquet(f"{tmp_path}/meta.parquet")
+    got = corpus.seeded_order(spark, str(tmp_path)).collect()
+    keys = spark.read.parquet(f"{tmp_path}/meta.parquet").distinct()
+    want = [r["doc_id"] for r in order.seeded(keys, F.col("doc_id"), 3).collect()]
+    assert len(want) == 251 and [r["doc_id"] for r in sorted(got, key=lambda r: r["pos"])] == want
+    assert sorted(r["pos"] for r in got) == list(range(251))
+    other = order.seeded_positions(keys, F.col("doc_id"), 4).collect()
+    assert {r["doc_id"] for r in other} == set(want) and [r["doc_id"] for r in sorted(other, key=lambda r: r["pos"])] != want
+
+
 def test_byte_rolls(spark):
     rng = random.Random(5)
     sizes = [rng.randint(0, 60) for _ in range(300)]
