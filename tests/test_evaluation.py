@@ -193,3 +193,15 @@ def test_read_columns_model_reads_every_line_at_production_size(spark, tmp_path,
         ids = model.forward(w, imaging.model_input(strip, 1024, 64)[None]).argmax(axis=2)[0]
         want[at] = sum(x != a.blank and (i == 0 or x != ids[i - 1]) for i, x in enumerate(ids))
     assert got == want
+
+
+def test_ctc_loss_takes_the_whole_target(spark, tmp_path):
+    from glyphmill.plans import evaluation
+
+    x = np.random.default_rng(7).normal(size=(8, 8)) * 0.1
+    best = [0, 1, 2, 7, 2, 3, 4, 4]
+    x[range(8), best] += 2
+    spark.createDataFrame([(1, x.ravel().tolist())], "vec_id bigint, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    lp = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    want = ctc.nll(lp, [0, 1, 2, 2, 3, 4], 7) / 6
+    assert math.isclose(evaluation.ctc_loss(spark, str(tmp_path)).first()["loss"], want, rel_tol=1e-9)
