@@ -7,8 +7,8 @@ capacity are cut into full sequences of their own and one remainder that is pack
 Packing runs in groups of a bounded number of documents (chosen by hash, so that every group has the
 mix of lengths of the whole), in parallel; a group starts with as many sequences as its tokens need.
 
-Defined results: documents without tokens take no room and are put into no sequence (they don't come
-out); repeated keys are packed as often as they occur; an empty table gives no rows.
+Defined results: documents without tokens (null counts too) take no room; with ``empty`` they come last,
+by the same rule, so they come out with a sequence and n_tokens 0, else they don't come out; repeated keys are packed as often as they occur; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,13 +58,13 @@ def pack_group(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadrati
     return where, offset
 
 
-def pack(sized: DataFrame, capacity: int, key: str = "doc_id", tokens: str = "n_tokens", linear: float = 1.0, quadratic: float = 1.0 / 4096) -> DataFrame:
+def pack(sized: DataFrame, capacity: int, key: str = "doc_id", tokens: str = "n_tokens", linear: float = 1.0, quadratic: float = 1.0 / 4096, empty: bool = False) -> DataFrame:
     """(key, part, sequence, offset, n_tokens): where each part of each document lies. ``sequence`` is
     ``group:number``; ``part`` counts the parts of a document cut because it exceeds the capacity."""
     if capacity < 1:
         raise ValueError("capacity must be positive")
     kind = dict(sized.dtypes)[key]
-    d = sized.select(F.col(key).alias("key"), F.col(tokens).cast("bigint").alias("n")).where("n > 0")
+    d = sized.select(F.col(key).alias("key"), F.coalesce(F.col(tokens).cast("bigint"), F.lit(0)).alias("n")).where("n >= 0" if empty else "n > 0")
     n_groups = max(1, -(-d.count() // GROUP_DOCS))
     cut = F.when(F.col("n") <= capacity, F.array(F.struct(F.lit(0).alias("part"), F.col("n").alias("n")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / capacity).cast("int") - 1), lambda i: F.struct(i.alias("part"), F.least(F.lit(capacity).cast("bigint"), F.col("n") - i * F.lit(capacity).cast("bigint")).alias("n")))

@@ -67,7 +67,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
 
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     sized = SharedTable(bpe.token_counts(table(spark, d, "documents")))
-    return packing.pack(sized.df, CAPACITY)
+    return packing.pack(sized.df, CAPACITY, empty=True)
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:

@@ -98,3 +98,16 @@ def test_pack(spark, monkeypatch, group):
         packing.pack(df, 0)
     assert packing.packing_report(packing.pack(df, 1000), 1000).first()["tokens"] == sum(r[1] or 0 for r in rows)
     assert packing.pack(df.withColumn("n_tokens", F.lit(1000)), 1000).groupBy("sequence").count().where("count > 1").count() == 0
+
+
+def test_documents_without_tokens_come_out_of_p7_packed(spark, tmp_path):
+    from glyphmill.llm import queries
+
+    rows = [(1, "one text"), (2, ""), (3, None), (4, "another text")]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.p7_packed(spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4} and {got[i]["n_tokens"] for i in (2, 3)} == {0} and got[1]["n_tokens"] > 0
+    assert all(r["part"] == 0 and r["sequence"] == "0:0" for r in got.values())
+    assert queries.p7_report(spark, str(tmp_path)).first()["sequences"] == 1
+    full = spark.createDataFrame([(i, 10 if i < 5 else 0) for i in range(8)], "doc_id bigint, n_tokens bigint")
+    assert {r["doc_id"] for r in packing.pack(full, 10, empty=True).collect()} == set(range(8))
