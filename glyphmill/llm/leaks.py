@@ -1,10 +1,9 @@
 """Records of evaluation splits that stand, exactly or almost, in the training split.
 
-Method: the texts, as sequences of words in consistent form, are cut into suffixes; suffixes are
-distributed and sorted by their first five words, so that a partition holds a range of the suffix array
-over all texts. Neighbours of different splits whose common prefix is that long reveal a shared span;
-the spans of two records are merged into the share of each that the other covers, and an exact word
-edit distance decides.
+Method: the texts, as sequences of words in consistent form, are cut into suffixes, of which only the
+hash of the first five words is kept; suffixes of different splits with equal hashes are joined. No
+suffix array is built. An exact word edit distance alone decides; the share of each record that the
+other covers is computed for accepted pairs only.
 
 Not every suffix is needed. Two texts of at most n words that differ in at most n // 8 words share a
 run of ceil((n - n // 8) / (n // 8 + 1)) words: 5 at least, 6 from n = 24, 7 from n = 49 on. So
