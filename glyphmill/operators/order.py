@@ -9,17 +9,25 @@ from pyspark.sql import functions as F
 from glyphmill.tables import SharedTable, shuffle_partitions
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
-    """``df`` with the 0-based position of each row in ``order`` (ties: in any fixed order)."""
-    spark = df.sparkSession
-    ranged = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    kept = SharedTable(ranged.withColumn("__at", F.monotonically_increasing_id())).df
-    kept = kept.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+def enumerated(df: DataFrame, name: str = "pos", keep: list[SharedTable] | None = None) -> DataFrame:
+    """``df``, kept in the shared folder, with the 0-based number of each row: partitions follow each other,
+    rows in the order of their partition. ``keep`` receives the table, to be dropped when done with."""
+    table = SharedTable(df.withColumn("__at", F.monotonically_increasing_id()))
+    if keep is not None:
+        keep.append(table)
+    kept = table.df.withColumn("__part", F.shiftright("__at", 33)).withColumn("__row", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     sizes = kept.groupBy("__part").agg(F.count("*").alias("__n"))
+    # one row a partition
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     return kept.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__row")).drop("__part", "__at", "__row", "__before")
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "pos", keep: list[SharedTable] | None = None) -> DataFrame:
+    """``df`` with the 0-based position of each row in ``order`` (ties: in any fixed order)."""
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return enumerated(ranged, name, keep)
+
+
 def strided(df: DataFrame, order: list[Column], show: int) -> DataFrame:
     """Every max(1, n // max(1, show))-th row from the first on."""
     n = df.count()
