@@ -47,7 +47,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
-    return leaks.report(docs, leaks.Overlaps(docs).classes())
+    return leaks.report(docs, leaks.Overlaps(docs))
+
+
+def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Words of evaluation documents that stand in spans shared with train, by split and source."""
+    docs = table(spark, d, "documents")
+    return leaks.coverage_report(docs, leaks.Overlaps(docs))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,4 +93,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return harm.rates(p8_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_splits, p2_shares, p3_found, p3_report, p4_found, p4_documents, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_splits, p2_shares, p3_found, p3_report, p3_coverage, p4_found, p4_documents, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates)}
