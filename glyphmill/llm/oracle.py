@@ -52,3 +52,13 @@ SQL["p2_found"] = f"""with recursive {_STOCK}, h as (select distinct src_doc, {_
 e as (select distinct a.src_doc as a, b.src_doc as b from h a join h b using (k) where k not in (select k from stock) and a.src_doc <> b.src_doc),
 r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 select min(b) as group_src_doc, a as src_doc from r group by a having min(b) < a"""
+
+_WORDS = f"list_filter(list_transform(regexp_extract_all(text, '[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda t: regexp_replace(lower({_look_sql('t')}), '[\\p{{P}}\\p{{Cc}}]', '', 'g')), lambda t: t <> '')"
+SQL["p3_coverage"] = f"""with w as (select doc_id, split, source, {_WORDS} as f from documents where split in ('train', 'val', 'test')
+    and len(regexp_extract_all(text, '[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+')) >= 10),
+  g as (select doc_id, split = 'train' as tr, 5 as k, unnest(range(1, len(f) - 3)) as i, f from w union all select doc_id, split = 'train', 4, unnest(range(1, len(f) - 2)), f from w where len(f) <= 10),
+  s as (select doc_id, tr, k, i, f[i:i + k - 1] as g from g),
+  hit as (select distinct doc_id, unnest(range(i, i + k)) as p from s where not tr and (k, g) in (select (k, g) from s where tr)),
+  c as (select doc_id, count(*) as n from hit group by doc_id),
+  e as (select w.*, case when f in (select f from w where split = 'train') then len(f) else coalesce(n, 0) end as covered from w left join c using (doc_id) where split <> 'train')
+select split, source, count(*) as n_documents, count(*) filter (covered > 0) as n_sharing, sum(len(f))::bigint as n_words, sum(covered)::bigint as n_covered from e group by split, source"""
