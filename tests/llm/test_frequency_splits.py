@@ -116,8 +116,20 @@ def test_splits_keep_groups_and_shares(spark):
     assert splits.assign_splits(df.where("false"), stock, {"train": 0.5, "val": 0.5}).count() == 0
 
 
-def test_shares_hold_with_many_units(spark):
-    df = spark.range(20_000).select(F.format_string("d%d", "id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), F.when(F.col("id") < 6000, 77).otherwise(F.col("id") % 4000).alias("src_doc"))
-    s = splits.assign_splits(df, spark.createDataFrame([], "text string"), {"train": 0.5, "val": 0.25, "test": 0.25}).groupBy("split").count().collect()
-    n = {r["split"]: r["count"] / 20_000 for r in s}
-    assert abs(n["train"] - 0.5) < 0.02 and abs(n["val"] - 0.25) < 0.02
+def test_shares_and_stability(spark):
+    """Without a unit that outweighs the others the shares hold; rows that are added move no unit, and the
+    report says how far a heavy unit takes the shares."""
+    shares = {"train": 0.5, "val": 0.25, "test": 0.25}
+    empty = spark.createDataFrame([], "text string")
+    df = spark.range(20_000).select(F.format_string("d%d", "id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"), (F.col("id") % 4000).alias("src_doc"))
+    few = splits.assign_splits(df, empty, shares)
+    for r in splits.shares_of(few, shares).collect():
+        assert abs(r["share"] - r["target"]) < 0.02 and r["largest_unit"] < 0.001
+    heavy = spark.range(9_000).select(F.format_string("h%d", "id").alias("doc_id"), F.concat(F.lit("h"), "id").alias("text"), F.lit(7777).cast("bigint").alias("src_doc"))
+    more = splits.assign_splits(df.unionAll(heavy), empty, shares)
+    one, two = ({(r["unit"], r["split"]) for r in x.select("unit", "split").distinct().collect()} for x in (few, more))
+    assert two - one == {x for x in two if x[0] == "work:7777"} and one < two
+    got = {r["split"]: r for r in splits.shares_of(more, shares).collect()}
+    assert max(r["largest_unit"] for r in got.values()) == pytest.approx(9_000 / 29_000) and sum(r["n_rows"] for r in got.values()) == 29_000
+    assert {r["kind"]: r["n_torn"] for r in splits.unit_report(more).collect()} == {"work": 0}
+    assert {r["n_rows"] for r in splits.shares_of(few.where("false"), shares).collect()} == {0}
