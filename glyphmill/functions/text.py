@@ -9,8 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Marks deleted by the nominal fold, and the white space of Unicode strings.
-FOLD_DELETES = "᠋᠌᠍᠎᠏‌‍﻿￾"
-NNBSP, MVS = " ", "᠎"
+FOLD_DELETES = "\u180b\u180c\u180d\u180e\u180f\u200c\u200d\ufeff\ufffe"
+NNBSP, MVS = "\u202f", "\u180e"
 WHITE = "\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: separable vowels, and the range of Mongolian letters
 VOWELS, LETTERS = "\\u1820\\u1821", "\\u1820-\\u18aa"

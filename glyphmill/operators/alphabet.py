@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.text import chars
 
-MAX_CHARS = 200_000
+#: private characters from U+F0000 on stand for ids, so there can't be more
+MAX_CHARS = 131_072
 
 
 def histogram(df: DataFrame, text: str = "text") -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.functions.text import derive_seed, line_key, normalize
 from glyphmill.operators.order import numbered
 
 MIN_CHARS, MAX_CHARS, MIN_DOC = 8, 28, 20
+PAGE_BLOCK = 100_000
 
 
 def cut_words(text: str | None, lo: int, hi: int) -> list[str]:
@@ -63,39 +64,30 @@ def render_plan(lines: DataFrame, number: Column, variants: int, n_fonts: int, b
     return d.withColumn("doc_id", line_key(F.col("_n"), F.col("variant"))).withColumn("font_idx", F.col("variant") % n_fonts).withColumn("seed", derive_seed(base_seed, F.col("_n") * variants + F.col("variant"))).drop("_n")
 
 
-def page_ranges(n_lines: int, lo: int, hi: int, base_seed: int = 0) -> list[tuple[int, int, int]]:
-    """(page, first line, lines) of pages of lo + seed(page) % (hi - lo + 1) lines; a ragged last page is
-    left out."""
-    out, at, page = [], 0, 0
-    while True:
-        size = lo + ((base_seed * 1000003 + page * 2654435761 + 12345) & 0x3FFFFFFF) % (hi - lo + 1)
-        if at + size > n_lines:
-            return out
-        out.append((page, at, size))
-        at, page = at + size, page + 1
-
-
-def pages(lines: DataFrame, pos: str, lo: int, hi: int, base_seed: int = 0) -> DataFrame:
-    """``lines`` (with a dense 0-based position) with page and slot. Page sizes repeat a pure function of
-    the page number, so each task finds the page of a position by its own prefix sums: in an Arrow
-    batch, without a join."""
-    total = lines.count()
-
-    def run(batches):
-        import numpy as np
-
-        bounds: list[int] = [0]
-        for b in batches:
-            at = b[pos].to_numpy()
-            top = at.max() if len(at) else -1
-            while bounds[-1] <= top:
-                page = len(bounds) - 1
-                bounds.append(bounds[-1] + lo + ((base_seed * 1000003 + page * 2654435761 + 12345) & 0x3FFFFFFF) % (hi - lo + 1))
-            edges = np.array(bounds)
-            page = np.searchsorted(edges, at, "right") - 1
-            b = b.assign(page=page.astype("int64"), slot=(at - edges[page]).astype("int64"), _end=edges[np.minimum(page + 1, len(edges) - 1)].astype("int64"))
-            yield b[b["_end"] <= total].drop(columns="_end")
-
-    from pyspark.sql import types as T
-
-    return lines.mapInPandas(run, T.StructType([*lines.schema.fields, T.StructField("page", T.LongType()), T.StructField("slot", T.LongType())]))
+def page_sizes(pages: Column, lo: int, hi: int, base_seed: int = 0) -> Column:
+    """Lines of each page: lo + seed(page) % (hi - lo + 1)."""
+    return F.lit(lo) + derive_seed(base_seed, pages) % (hi - lo + 1)
+
+
+def page_table(spark, n_lines: int, lo: int, hi: int, base_seed: int = 0, max_pages: int | None = None) -> DataFrame:
+    """(page, start, n) of pages that fit into ``n_lines`` lines, ``max_pages`` at most; a ragged last page is left out.
+    Sizes depend on the page's number only; their running sum is taken in blocks of pages, and over
+    one row a block."""
+    if not 0 < lo <= hi:
+        raise ValueError("pages need a line at least")
+    most = n_lines // lo if max_pages is None else min(n_lines // lo, max_pages)
+    p = spark.range(most).select(F.col("id").alias("page"), page_sizes(F.col("id"), lo, hi, base_seed).alias("n"), F.floor(F.col("id") / PAGE_BLOCK).alias("_b"))
+    blocks = p.groupBy("_b").agg(F.sum("n").alias("_n"))
+    before = blocks.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    here = F.sum("n").over(Window.partitionBy("_b").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
+    at = p.join(F.broadcast(before), "_b").withColumn("start", F.col("_before") + here - F.col("n"))
+    return at.where(F.col("start") + F.col("n") <= n_lines).select("page", "start", "n")
+
+
+def pages(lines: DataFrame, pos: str, lo: int, hi: int, base_seed: int = 0, max_pages: int | None = None, max_lines: int | None = None) -> DataFrame:
+    """``lines`` (with a dense 0-based position) with page and slot, of ``max_lines`` lines and ``max_pages``
+    pages at most. The table of pages is spread to its positions and joined by position."""
+    total = lines.count() if max_lines is None else min(lines.count(), max_lines)
+    table = page_table(lines.sparkSession, total, lo, hi, base_seed, max_pages)
+    at = table.select("page", F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("_slot", "_pos"))
+    return lines.join(at, lines[pos] == at["_pos"]).withColumn("slot", F.col("_slot").cast("bigint")).drop("_slot", "_pos")

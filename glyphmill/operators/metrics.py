@@ -56,15 +56,21 @@ def key_alignment(refs: DataFrame, preds: DataFrame, key: str) -> DataFrame:
 
 
 def distribution(values: DataFrame, value: str, percent: float = 90.0) -> DataFrame:
-    """(n, mean, p, min, max): ``p`` is the nearest rank, round half even of percent / 100 * (n - 1). The
-    element is found by position in a distributed sort, not in one array."""
-    from glyphmill.operators.order import numbered
-
-    d = values.where(F.col(value).isNotNull()).select(F.col(value).alias("v"))
-    n = d.count()
+    """(n, mean, median, p, min, max): ``p`` is the nearest rank, round half even of percent / 100 * (n - 1); the
+    median of an even number is the mean of the middle two; zeros if there are none. Equal values are counted
+    first, so one that most rows have is one row in the distributed sort."""
+    from glyphmill.operators.order import cumulative
+
+    by = values.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v")).groupBy("v").agg(F.count("*").alias("c"))
+    got = cumulative(by, [F.col("v")], "c")
+    n = got.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     at = max(0, min(n - 1, round(percent / 100.0 * (n - 1)))) if n else 0
-    got = numbered(d, [F.col("v")], "pos").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.max(F.when(F.col("pos") == at, F.col("v"))).alias("p"), F.min("v").alias("min"), F.max("v").alias("max"))
-    return got.select("n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "p", "min", "max")])
+
+    def rank(i: int) -> Column:
+        return F.min(F.when(F.col("upto") > i, F.col("v")))
+
+    out = got.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean"), ((rank(max(0, n - 1) // 2) + rank(n // 2 if n else 0)) / 2).alias("median"), rank(at).alias("p"), F.min("v").alias("min"), F.max("v").alias("max"))
+    return out.select("n", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("mean", "median", "p", "min", "max")])
 
 
 __all__ = ["cer", "distribution", "key_alignment", "nearest_rank", "report", "scored"]

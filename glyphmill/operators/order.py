@@ -28,6 +28,17 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos", keep: list[S
     return enumerated(ranged, name, keep)
 
 
+def cumulative(df: DataFrame, order: list[Column], weight: str, name: str = "upto") -> DataFrame:
+    """``df`` with the sum of ``weight`` up to and with each row in ``order``: running sums in each range, and
+    what the ranges before hold (one row a range)."""
+    ranged = df.repartitionByRange(shuffle_partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    kept = SharedTable(ranged.withColumn("__at", F.monotonically_increasing_id())).df.withColumn("__part", F.shiftright("__at", 33))
+    sums = kept.groupBy("__part").agg(F.sum(weight).alias("__n"))
+    before = sums.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    here = F.sum(weight).over(Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0))
+    return kept.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + here).drop("__part", "__at", "__before")
+
+
 def strided(df: DataFrame, order: list[Column], show: int) -> DataFrame:
     """Every max(1, n // max(1, show))-th row from the first on."""
     n = df.count()
@@ -46,9 +57,12 @@ def seeded_positions(df: DataFrame, key: Column, seed: int, name: str = "pos") -
     return numbered(drawn, [F.col("__draw"), F.col("__key")], name).drop("__draw", "__key")
 
 
-def batches(df: DataFrame, order: list[Column], size: int, partial: bool) -> DataFrame:
-    """``df`` with its batch number; without ``partial`` the ragged last batch is dropped."""
+def batches(df: DataFrame, order: list[Column], size: int, partial: bool, pos: str | None = None, max_batches: int | None = None) -> DataFrame:
+    """``df`` with its batch number (and its position as ``pos``); without ``partial`` the ragged last batch is dropped;
+    ``max_batches`` keeps the first."""
     d = numbered(df, order, "__pos").withColumn("batch", F.floor(F.col("__pos") / size).cast("bigint"))
     if not partial:
         d = d.where(F.col("batch") < F.lit(df.count() // size))
-    return d.drop("__pos")
+    if max_batches is not None:
+        d = d.where(F.col("batch") < max_batches)
+    return d.drop("__pos") if pos is None else d.withColumnRenamed("__pos", pos)

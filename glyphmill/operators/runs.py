@@ -6,11 +6,10 @@ differs from the one before; the run number is the count of starts so far, again
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions.text import derive_seed
 from glyphmill.operators.order import numbered
 
 
@@ -55,24 +54,21 @@ def eligible(lengths: DataFrame, least: int) -> DataFrame:
     return lengths.where(F.col("n") >= least)
 
 
-def seeded_runs(lengths: DataFrame, least: int, n_columns: int, seed: int) -> list[tuple[int, int]]:
-    """(run, n) of the eligible runs in a seeded order, as many as columns are wanted: runs are visited
-    in turn, so no others can be used."""
-    order = F.xxhash64(F.lit(seed), F.col("run"))
-    return [(r["run"], r["n"]) for r in eligible(lengths, least).orderBy(order, "run").limit(n_columns).select("run", "n").collect()]
-
-
-def column_plan(able: list[tuple[int, int]], n_columns: int, lo: int, hi: int, seed: int) -> list[tuple[int, int, int, int]]:
-    """(column, run, start, k): windows drawn with one seeded stream; runs of at least ``lo`` lines are
-    visited in turn in their given order. The window's size is drawn before its start."""
-    rng = random.Random(seed)
-    able = [(r, n) for r, n in able if n >= lo]
-    plan = []
-    for i in range(n_columns if able else 0):
-        r, n = able[i % len(able)]
-        k = rng.randint(lo, min(hi, n))
-        plan.append((i, r, rng.randint(0, n - k), k))
-    return plan
+def column_plan(lengths: DataFrame, n_columns: int, lo: int, hi: int, seed: int) -> DataFrame:
+    """(idx, run, start, k): ``n_columns`` windows of lo to hi lines. Runs of at least ``lo`` lines are visited in turn
+    in a seeded order; a window's size and start are drawn from the seed and the column's number. No columns if no run
+    is long enough."""
+    spark = lengths.sparkSession
+    order = [derive_seed(seed, F.col("run")), F.col("run")]
+    # runs are visited in turn, so no more than n_columns can be used
+    able = eligible(lengths, lo).orderBy(*order).limit(n_columns).withColumn("_rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    n = able.count()
+    if not n:
+        return spark.createDataFrame([], "idx bigint, run bigint, start bigint, k bigint")
+    c = spark.range(n_columns).select(F.col("id").alias("idx"), (F.col("id") % n).alias("_rank")).join(able, "_rank")
+    k = F.lit(lo) + derive_seed(seed + 1, F.col("idx") * 2) % (F.least(F.lit(hi), F.col("n")) - lo + 1)
+    c = c.withColumn("k", k.cast("bigint"))
+    return c.select("idx", "run", (derive_seed(seed + 1, F.col("idx") * 2 + 1) % (F.col("n") - F.col("k") + 1)).alias("start"), "k")
 
 
 def columns(numbered_runs: DataFrame, plan: DataFrame, text: str = "text") -> DataFrame:

@@ -16,13 +16,21 @@ from glyphmill.operators.order import numbered
 
 MEMBER_HEADER = 512
 CHUNK_SHARDS = 50_000
+#: rows of a chunk that a task folds
+CHUNK_ROWS = 100_000
 
 
-def chunked(df: DataFrame, order: list[Column], workers: int) -> DataFrame:
-    """``df`` with pos, chunk (ceil(total / workers) rows each) and base (the chunk's first shard number)."""
-    size = max(1, math.ceil(df.count() / max(1, workers)))
+def chunked(df: DataFrame, order: list[Column], workers: int | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with pos, chunk and base (the chunk's first shard number). Chunks have ``rows`` rows each, so
+    their number grows with the input; with ``workers`` they are as many, of ceil(total / workers) rows."""
+    size = max(1, math.ceil(df.count() / max(1, workers)) if workers else rows)
     chunk = F.floor(F.col("pos") / size).cast("bigint")
-    return numbered(df, order, "pos").withColumn("chunk", chunk).withColumn("base", F.col("chunk") * (size // CHUNK_SHARDS + 100))
+    return numbered(df, order, "pos").withColumn("chunk", chunk).withColumn("base", F.col("chunk") * _numbers(size))
+
+
+def _numbers(size: int) -> int:
+    """Shard numbers kept for a chunk of so many rows."""
+    return size // CHUNK_SHARDS + 100
 
 
 def roll_sizes(sizes: list[int], limit: int) -> list[int]:
@@ -36,26 +44,33 @@ def roll_sizes(sizes: list[int], limit: int) -> list[int]:
     return out
 
 
-def roll_bytes(df: DataFrame, order: list[Column], size: Column, limit: int, workers: int) -> DataFrame:
-    """``df`` with pos and shard. ``size`` is the bytes a sample takes (null counts as 0). Chunks are
-    contiguous ranges of positions and of bounded size, folded one by one in a task."""
-    d = chunked(df, order, workers).withColumn("_size", F.coalesce(size, F.lit(0)).cast("bigint"))
+def roll_bytes(df: DataFrame, order: list[Column], size: Column, limit: int, workers: int | None = None, rows: int = CHUNK_ROWS) -> DataFrame:
+    """``df`` with pos, chunk and shard. ``size`` is the bytes a sample takes (null counts as 0). Chunks are
+    contiguous ranges of positions (see ``chunked``), folded one by one in a task. A chunk that needs more
+    shards than numbers are kept for it is an error: take a larger limit or smaller chunks."""
+    d = chunked(df, order, workers, rows).withColumn("_size", F.coalesce(size, F.lit(0)).cast("bigint"))
+    keep = [f for f in d.schema.fields if f.name not in ("_size", "base")]
+    names = [f.name for f in keep]
+    spare = _numbers(max(1, math.ceil(df.count() / max(1, workers)) if workers else rows))
 
     def run(batches):
-        chunk, shard, total = None, 0, 0
+        import pyarrow as pa
+
+        chunk, shard, total, first = None, 0, 0, 0
         for b in batches:
             out = []
-            for c, base, s in zip(b["chunk"], b["base"], b["_size"]):
+            for c, base, s in zip(*[b.column(b.schema.get_field_index(n)).to_pylist() for n in ("chunk", "base", "_size")]):
                 if c != chunk:
-                    chunk, shard, total = c, base, 0
+                    chunk, shard, total, first = c, base, 0, base
+                if shard - first >= spare:
+                    raise ValueError(f"chunk {c} needs more than {spare} shards")
                 out.append(shard)
                 total += s
                 if total >= limit:
                     shard, total = shard + 1, 0
-            yield b.assign(shard=out).drop(columns=["_size", "base"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in names] + [pa.array(out, pa.int64())], [*names, "shard"])
 
-    schema = T.StructType([f for f in d.schema.fields if f.name not in ("_size", "base")] + [T.StructField("shard", T.LongType())])
-    return d.repartition("chunk").sortWithinPartitions("chunk", "pos").mapInPandas(run, schema)
+    return d.repartition("chunk").sortWithinPartitions("chunk", "pos").mapInArrow(run, T.StructType([*keep, T.StructField("shard", T.LongType())]))
 
 
 def roll_count(df: DataFrame, order: list[Column], per_shard: int) -> DataFrame:

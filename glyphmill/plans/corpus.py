@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.operators import archive, bands, lines, order, quality, runs, shards
 from glyphmill.operators.alphabet import Alphabet, histogram
 from glyphmill.plans.vocabulary import COUNTS
+from glyphmill.sources import labels
 from glyphmill.tables import table
 
 VAL, TEST, GAP = 1200, 1400, 50
@@ -54,9 +55,8 @@ def font_coverage(spark, d):
 
 def split_router(spark, d):
     """Documents routed to val and test, with what was seen of each."""
-    docs = table(spark, d, "documents").where("src_doc is not null")
-    s = F.when((F.col("src_doc") >= VAL) & (F.col("src_doc") < TEST - GAP), "val").when(F.col("src_doc") >= TEST, "test")
-    return docs.withColumn("route", s).where("route is not null").groupBy("route").agg(F.count("*").alias("n"), F.count_distinct("src_doc").alias("n_docs"), F.min("src_doc").alias("lo"), F.max("src_doc").alias("hi"))
+    docs = table(spark, d, "documents").where("src_doc is not null").withColumn("route", bands.three_way(F.col("src_doc"), VAL, TEST, GAP))
+    return docs.where("route in ('val', 'test')").groupBy("route").agg(F.count("*").alias("n"), F.count_distinct("src_doc").alias("n_docs"), F.min("src_doc").alias("lo"), F.max("src_doc").alias("hi"))
 
 
 def filter_keep(spark, d):
@@ -99,9 +99,9 @@ def _files(spark, d) -> DataFrame:
 
 
 def pack_bytes(spark, d):
-    """Files rolled into shards of 16 kB by four workers."""
+    """Files rolled into shards of 16 kB, in ranges of 500 files."""
     size = F.col("n_bytes") + shards.MEMBER_HEADER
-    return shards.roll_bytes(_files(spark, d), [F.col("path")], size, 16_384, 4).select("path", "pos", "chunk", "shard")
+    return shards.roll_bytes(_files(spark, d), [F.col("path")], size, 16_384, rows=500).select("path", "pos", "chunk", "shard")
 
 
 def pack_count(spark, d):
@@ -129,9 +129,9 @@ def resume_anti(spark, d):
 
 
 def repack_meta(spark, d):
-    """Metadata lines without doc_id, the bucket filled in."""
+    """Metadata lines without key and time, the bucket filled in, as the packer writes them."""
     m = table(spark, d, "meta").withColumn("bucket", F.coalesce(F.nullif(F.col("bucket"), F.lit("")), archive.bucket_of(F.col("doc_id"))))
-    return m.select("doc_id", "written_at", F.to_json(F.struct("kind", "src_doc", "bucket", "font_px"), {"ignoreNullFields": "false"}).alias("line"))
+    return m.select("doc_id", "written_at", labels.to_line(m, ("doc_id", "written_at", "part_file", "text", "font")).alias("line"))
 
 
 def status_tally(spark, d):
@@ -166,9 +166,8 @@ def column_windows(spark, d):
 
 
 def column_plan(spark, d):
-    """A seeded plan of 200 columns: only the lengths of as many runs reach the driver."""
-    able = runs.seeded_runs(runs.run_lengths(_runs(spark, d), "src_doc"), 5, 200, 11)
-    return spark.createDataFrame(runs.column_plan(able, 200, 5, 8, 11), "idx int, run bigint, start bigint, k int")
+    """A seeded plan of 200 columns."""
+    return runs.column_plan(runs.run_lengths(_runs(spark, d), "src_doc"), 200, 5, 8, 11)
 
 
 def column_check(spark, d):
@@ -227,10 +226,16 @@ r as (select doc_id, list_reduce(list_transform(list_append(w, repeat('x', 29)),
     when length(a.cur) + 1 + length(x.cur) > 28 then {{'cur': x.cur, 'ls': case when length(a.cur) >= 8 then list_append(a.ls, a.cur) else a.ls end}}
     else {{'cur': a.cur || ' ' || x.cur, 'ls': a.ls}} end, {{'cur': '', 'ls': []::varchar[]}}).ls as ls from n),
 l as (select doc_id, unnest(ls) as line, unnest(range(0, len(ls))) as line_no from r)"""
+
+
+def _seed(base: int, x: str) -> str:
+    return f"(({base} * 1000003 + (({x}) % 1073741824) * 2654435761 + 12345) % 1073741824)"
+
+
 SQL = {
     "segment_lines": f"with {_LINES} select doc_id, line_no::int as line_no, line from l",
     "line_length_stats": f"with {_LINES} select count(*) as n, sum(length(line))::bigint as chars, min(length(line)) as lo, max(length(line)) as hi from l",
-    "pack_bytes": f"""with {_F}, c as (select path, pos, coalesce(n_bytes, 0) + case when n_bytes is null then 0 else 512 end as size, ceil((select count(*) from f) / 4.0)::bigint as z from p),
+    "pack_bytes": f"""with {_F}, c as (select path, pos, coalesce(n_bytes, 0) + case when n_bytes is null then 0 else 512 end as size, 500 as z from p),
       g as (select pos // z as chunk, any_value(z) as z, list(path order by pos) as paths, list(pos order by pos) as ps, list({{'s': size::bigint, 't': 0::bigint, 'o': []::bigint[]}} order by pos) as sz from c group by 1),
       q as (select chunk, paths, ps, list_reduce(sz, lambda a, x: case when a.t + x.s >= 16384 then {{'s': a.s + 1, 't': 0::bigint, 'o': list_append(a.o, a.s)}} else {{'s': a.s, 't': a.t + x.s, 'o': list_append(a.o, a.s)}} end,
         {{'s': (chunk * (z // 50000 + 100))::bigint, 't': 0::bigint, 'o': []::bigint[]}}).o as o from g)
@@ -266,6 +271,9 @@ SQL = {
     "run_stats": f"with {_RUNS} select count(*) as n_runs, min(n) as min_n, max(n) as max_n, list_sort(list(n))[count(*) // 2 + 1] as median_n from l",
     "group_eligibility": f"with {_RUNS} select src_doc, count(*) as n_runs, max(n) as longest from l where n >= 5 group by src_doc",
     "column_windows": f"with {_RUNS} select o.run as idx, count(*) as n_lines, string_agg(replace(text, chr(1), ''), ' ' order by ord) as text from o join l using (run) where n >= 5 and ord >= (n - 5) // 2 and ord < (n - 5) // 2 + 5 group by o.run",
+    "column_plan": f"""with {_RUNS}, a as (select run, n, row_number() over (order by {_seed(11, 'run')}, run) - 1 as rank from l where n >= 5 order by rank limit 200),
+      c as (select i as idx, run, n, 5 + {_seed(12, 'i * 2')} % (least(8, n) - 4) as k from (select unnest(range(0, 200)) as i) join a on rank = i % (select count(*) from a))
+      select idx, run, ({_seed(12, 'idx * 2 + 1')} % (n - k + 1))::bigint as start, k::bigint as k from c""",
     "column_check": "select distinct idx, column_key, len(line_texts) = n_lines as n_ok, array_to_string(list_filter(line_texts, lambda x: x is not null), ' ') = text as text_ok from column_labels where line_texts is not null",
     "strided_sample": "with p as (select distinct key, ref, pred from predictions), r as (select *, row_number() over (order by key, ref nulls first, pred nulls first) - 1 as pos, count(*) over () as n from p) select key, ref, pred from r where pos % greatest(1, n // 20) = 0",
     "tail_limit": "select part_file, doc_id, font_px from meta where part_file in (select distinct part_file from meta where part_file is not null order by part_file desc limit 3)",

@@ -13,8 +13,8 @@ from pyspark.sql.functions import pandas_udf
 from glyphmill.functions.text import chars, derive_seed, nominal_fold, presentation
 from glyphmill.operators import alignment, control, ctc, imaging, metrics, model, shards
 from glyphmill.operators.alphabet import Alphabet, histogram
-from glyphmill.plans.vocabulary import MIN_COUNT, fold_sql, tokens_sql
-from glyphmill.sources import columns, tarshard
+from glyphmill.plans.vocabulary import _ENC, COUNTS, MIN_COUNT, fold_sql, tokens_sql
+from glyphmill.sources import columns, detection, tarshard
 from glyphmill.tables import local_path, shared_dir, shuffle_partitions, table
 
 
@@ -97,34 +97,38 @@ def ctc_collapse(spark, d):
 def ctc_loss(spark, d):
     f = _frames(spark, d).withColumn("log_probs", F.transform("frames", lambda x: ctc.log_softmax(x)))
     target = ctc.collapse(ctc.frame_ids(F.col("frames")), 7)
-    return f.withColumn("target", target).agg(ctc.loss(F.col("log_probs"), F.col("target"), 7).alias("loss"))
+    return f.withColumn("target", target).agg(F.round(ctc.loss(F.col("log_probs"), F.col("target"), 7), 9).alias("loss"))
 
 
 def moving_average(spark, d):
-    """Zero-padded mean over five values, as expressions of the array."""
-    def at(x, i):
-        return F.coalesce(F.get(x, i).cast("double"), F.lit(0.0))
+    """Zero-padded mean over five values of each embedding."""
+    @pandas_udf("array<double>")
+    def smooth(v: pd.Series) -> pd.Series:
+        return pd.Series([imaging.moving_average(np.asarray(x, float), 5).round(6) for x in v], dtype=object)
 
-    smooth = F.transform("embedding", lambda _, i: F.round((at(F.col("embedding"), i - 2) + at(F.col("embedding"), i - 1) + at(F.col("embedding"), i) + at(F.col("embedding"), i + 1) + at(F.col("embedding"), i + 2)) / 5, 6))
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(smooth).alias("i", "v"))
+    return table(spark, d, "embeddings").where("embedding is not null").select("vec_id", F.posexplode(smooth("embedding")).alias("i", "v"))
 
 
 def ink_span(spark, d):
     """First and last index above 0.3 of the maximum of an embedding's absolute values."""
-    a = F.transform("embedding", lambda x: F.abs(x.cast("double")))
-    e = table(spark, d, "embeddings").select("vec_id", a.alias("a")).withColumn("top", F.array_max("a"))
-    hit = F.filter(F.transform("a", lambda x, i: F.when(x > 0.3 * F.col("top"), i)), lambda i: i.isNotNull())
-    return e.select("vec_id", F.coalesce(F.array_min(hit), F.lit(0)).alias("first"), F.coalesce(F.array_max(hit), F.size("a") - 1).alias("last"))
+    @pandas_udf("struct<first:int,last:int>")
+    def ends(v: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([imaging.span(np.abs(np.asarray(x, float))) for x in v], columns=["first", "last"])
+
+    return table(spark, d, "embeddings").where("size(embedding) between 1 and 299").select("vec_id", ends("embedding").alias("s")).select("vec_id", "s.first", "s.last")
 
 
 def best_cut(spark, d):
-    """The brightest row within 8 of index 20."""
-    e = table(spark, d, "embeddings").where("size(embedding) >= 29").select("vec_id", F.slice("embedding", 13, 17).alias("w"))
-    return e.select("vec_id", (F.array_position("w", F.array_max("w")) + 11).alias("cut"))
+    """The brightest value of an embedding within 8 of index 20 and not before 14."""
+    @pandas_udf("bigint")
+    def cut(v: pd.Series) -> pd.Series:
+        return pd.Series([imaging.best_cut(np.asarray(x, np.float32), 20, 8, 14) for x in v])
 
+    return table(spark, d, "embeddings").where("size(embedding) > 0").select("vec_id", cut("embedding").alias("cut"))
 
-def _column_images(spark, d) -> DataFrame:
-    """A drawn strip for each line of each column: dark bars as wide as the line is long."""
+
+def _draw(length):
+    """A strip with a dark bar as wide as a line is long."""
     @pandas_udf(imaging.IMAGE)
     def draw(n: pd.Series) -> pd.DataFrame:
         out = []
@@ -132,17 +136,33 @@ def _column_images(spark, d) -> DataFrame:
             img = np.full((60, 40 + 2 * int(k)), 240, np.uint8)
             img[15:45, 10 : 30 + int(k)] = 30
             out.append(imaging.pack(img))
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, columns=["h", "w", "data"])
+
+    return draw(length)
 
-    lab = table(spark, d, "column_labels").where("size(line_texts) > 0").dropDuplicates(["idx"])
-    lines = lab.select("idx", F.posexplode("line_texts").alias("ord", "line"))
-    return lines.select("idx", "ord", draw(F.char_length(F.coalesce("line", F.lit("")))).alias("image"))
+
+def _line_lists(spark, d) -> DataFrame:
+    """(idx, line_texts): of several rows of an idx the one whose lines come last in order."""
+    last = F.array_join("line_texts", "\x1f", "\x01")
+    return table(spark, d, "column_labels").where("size(line_texts) > 0").groupBy("idx").agg(F.max_by("line_texts", last).alias("line_texts"))
+
+
+def _column_images(spark, d) -> DataFrame:
+    """A drawn strip for each line of each column."""
+    lines = _line_lists(spark, d).select("idx", F.posexplode("line_texts").alias("ord", "line"))
+    return lines.select("idx", "ord", "line", _draw(F.char_length(F.coalesce("line", F.lit("")))).alias("image"))
 
 
 def _columns(spark, d) -> DataFrame:
     return imaging.stack_groups(_column_images(spark, d), "idx", "ord", "image", 20)
 
 
+def column_stats(spark, d):
+    """Heights and lines of the stacked columns."""
+    n = _line_lists(spark, d).select("idx", F.size("line_texts").alias("n_lines"))
+    return imaging.column_stats(_columns(spark, d).join(n, "idx"))
+
+
 def stack_columns(spark, d):
     return _columns(spark, d).select("idx", F.col("image.h").alias("h"), F.col("image.w").alias("w"))
 
@@ -161,19 +181,51 @@ def ink_crop(spark, d):
 
 
 def page_boxes(spark, d):
-    """Detection rows: the lines of each column set on a page of 800 by 600, with their texts."""
-    lab = table(spark, d, "column_labels").where("size(line_texts) > 0").dropDuplicates(["idx"])
+    """Boxes of the lines of each column set on a page of 800 by 600, with their texts."""
+    lab = _line_lists(spark, d)
     sizes = F.transform("line_texts", lambda t: F.struct((20 * F.char_length(F.coalesce(t, F.lit("")))).alias("h"), F.lit(60).alias("w")))
     p = imaging.page_boxes(lab.select("idx", "line_texts", sizes.alias("sizes")), "sizes", derive_seed(3, F.col("idx")), 800, 600)
     b = imaging.labelled_boxes(F.col("boxes"), F.col("line_texts"), F.transform("line_texts", lambda t: presentation(t)))
-    return p.select("idx", F.inline(b)).select("idx", "x", "w", "h", "text", "render_text")
+    return p.select("idx", F.inline(b)).select("idx", "x", "y", "w", "h", "text", "render_text")
+
+
+def detection_roundtrip(spark, d):
+    """The drawn strips of each column as a page of 800 by 600 with its detection row, written and read back."""
+    p = imaging.detection_pages(_column_images(spark, d), "idx", "ord", "image", "line", derive_seed(3, F.col("idx")), 800, 600)
+    b = imaging.labelled_boxes(F.col("boxes"), F.col("texts"), F.transform("texts", lambda t: presentation(t)))
+    path = f"{shared_dir(spark)}/detection-{uuid.uuid4().hex}"
+    rows = detection.write_pages(p, path, F.format_string("page_%06d", "idx"), F.lit("F"), F.col("page_image"), b)
+    png = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(f"{path}/{detection.FOLDER}").select(F.regexp_extract("path", "([^/]+)[.]png$", 1).alias("page_id"), columns.decoded("content").alias("i"))
+    got = rows.join(png, "page_id").select("page_id", "image", "font", F.concat_ws("x", F.col("image_size").cast("array<string>")).alias("size"), F.col("i.h").alias("png_h"), F.col("i.w").alias("png_w"), F.inline("bboxes"))
+    return got.select("page_id", "image", "font", "size", "png_h", "png_w", "x", "y", "w", "h", "text", "render_text")
+
+
+def collated(spark, d):
+    """Batches of 64 recognized lines with drawn strips, ready for a model."""
+    a = Alphabet.from_counts(histogram(table(spark, d, "meta")), MIN_COUNT)
+    p = table(spark, d, "predictions").where("key is not null and ref is not null").select("key", "ref").distinct()
+    p = p.select("key", "ref", a.encode(F.col("ref")).alias("ids"), _draw(F.char_length("ref")).alias("image"))
+    b = imaging.collated(p, [F.col("key"), F.col("ref")], "image", "ids", 64, 32, 16)
+    text = F.array_join(F.transform("targets", lambda t: F.array_join(t.cast("array<string>"), " ")), ";")
+    return b.select("batch", "n", F.octet_length("images").alias("n_bytes"), F.array_join(F.col("lengths").cast("array<string>"), " ").alias("lengths"), text.alias("targets"))
 
 
 def rendered_status(spark, d):
-    """Outcomes of rendering: strips that hold a line, and those too small."""
-    s = F.when(imaging.renderable(F.col("c")), "ok").otherwise("empty")
-    c = _column_images(spark, d).select(imaging.image_udf(imaging.tight_crop)(F.col("image")).alias("c"))
-    return c.groupBy(s.alias("status")).agg(F.count("*").alias("n"))
+    """Outcomes of rendering: strips that hold a line, and those that came out blank or too small (drawn here for
+    lines of some lengths)."""
+    @pandas_udf(imaging.IMAGE)
+    def render(n: pd.Series) -> pd.DataFrame:
+        out = []
+        for k in n:
+            img = np.full((40, 30 + int(k)), 240, np.uint8)
+            img[10:30, 12 : 12 + int(k) * (k % 7 > 0)] = 30
+            out.append(imaging.pack(img if k % 7 != 1 else img[7:14]))
+        return pd.DataFrame(out, columns=["h", "w", "data"])
+
+    lines = table(spark, d, "column_labels").where("line_texts is not null").select(F.explode("line_texts").alias("line"))
+    img = lines.select(imaging.image_udf(imaging.tight_crop)(render(F.char_length(F.coalesce("line", F.lit(""))))).alias("c"))
+    s = F.when(imaging.renderable(F.col("c")), "ok").when(F.col("c.data").isNull(), "blank").otherwise("small")
+    return img.groupBy(s.alias("status")).agg(F.count("*").alias("n"))
 
 
 def read_columns_model(spark, d):
@@ -205,16 +257,16 @@ def control_machine(spark, d):
 
 
 def _label_rows(spark, d) -> DataFrame:
-    return table(spark, d, "column_labels").where("text is not null").dropDuplicates(["idx"]).select("idx", "text", F.coalesce("src_doc", F.lit(0)).alias("src_doc"))
+    one = F.max_by(F.struct("text", "src_doc"), F.concat_ws("\x1f", "text", F.coalesce(F.col("src_doc").cast("string"), F.lit(""))))
+    return table(spark, d, "column_labels").where("text is not null").groupBy("idx").agg(one.alias("r")).select("idx", "r.text", F.coalesce("r.src_doc", F.lit(0)).alias("src_doc"))
 
 
 def tar_roundtrip(spark, d):
-    """Column labels with drawn images, packed into tar shards of 100 and read back."""
+    """Column labels with their stacked images, packed into tar shards of 100 and read back."""
     rows = shards.roll_count(_label_rows(spark, d), [F.col("idx")], 100)
-    img = columns.encoded("image")
-    drawn = rows.join(_column_images(spark, d).where("ord = 0").select("idx", "image"), "idx")
+    drawn = rows.join(_columns(spark, d), "idx")
     path = f"{local_path(shared_dir(spark))}/tar-{uuid.uuid4().hex}"
-    packed = drawn.select(F.format_string("col_%08d", "idx").alias("key"), img.alias("png"), F.to_json(F.struct("text", "src_doc")).alias("json"), "shard", "pos")
+    packed = drawn.select(F.format_string("col_%08d", "idx").alias("key"), columns.encoded("image").alias("png"), F.to_json(F.struct("text", "src_doc")).alias("json"), "shard", "pos")
     tarshard.write(packed, path)
     back = tarshard.labelled(tarshard.read(spark, f"{path}/*.tar"))
     return back.select("shard", "key", "text", "src_doc", columns.decoded("png")["h"].alias("h"))
@@ -230,7 +282,7 @@ def column_dir_roundtrip(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (ocr_scored, ocr_report, ocr_report_by_font, cer_distribution, key_alignment, alignment_counts, alignment_distance, substitutions, confusion_pairs, confusion_pooled, confusion_in_place, pair_membership, ctc_collapse, ctc_loss, moving_average, ink_span, best_cut, stack_columns, tile_columns, ink_crop, page_boxes, rendered_status,
+    for f in (ocr_scored, ocr_report, ocr_report_by_font, cer_distribution, key_alignment, alignment_counts, alignment_distance, substitutions, confusion_pairs, confusion_pooled, confusion_in_place, pair_membership, ctc_collapse, ctc_loss, moving_average, ink_span, best_cut, stack_columns, column_stats, tile_columns, ink_crop, page_boxes, detection_roundtrip, collated, rendered_status,
               read_columns_model, param_counts, matched_hidden, lr_warmup, control_machine, tar_roundtrip, column_dir_roundtrip)
 }
 
@@ -251,36 +303,101 @@ x as (select *, {_CH.format('r')} as cr, {_CH.format('p')} as cp, {_CH.format('f
 s as (select key, {_dist('cp', 'cr')} as raw_dist, length(r) as raw_len, {_dist('cfp', 'cfr')} as norm_dist, length(fr) as norm_len, {_dist('wp', 'wr')} as word_dist, len(wr) as word_len, fr = fp as exact from x)"""
 _REP = "count(*) as n, sum(norm_dist) / sum(greatest(norm_len, 1)) as norm_cer, sum(raw_dist) / sum(greatest(raw_len, 1)) as raw_cer, sum(word_dist) / sum(greatest(word_len, 1)) as wer, avg(exact::int) as line_exact"
 _LETTERS = "(" + ", ".join(f"chr({ord(c)})" for pair in (*alignment.PAIRS_A, *alignment.PAIRS_B) for c in pair) + ")"
+
+
+def _shown(x: str) -> str:
+    """The presentation form of a text."""
+    return f"""case when {x} is null then null when {x} = '' then '' else (select string_agg(case when c = chr(6158) and not (a in (chr(6176), chr(6177)) and not coalesce(unicode(b) between 6176 and 6314 and b <> '', false)) then ' ' else c end, '' order by k)
+        from (select k, substr({x}, k, 1) as c, substr({x}, k + 1, 1) as a, substr({x}, k + 2, 1) as b from (select unnest(range(1, length({x}) + 1)) as k))) end"""
+
+
+def _seed(base: int, x: str) -> str:
+    return f"(({base} * 1000003 + (({x}) % 1073741824) * 2654435761 + 12345) % 1073741824)"
+
+
 _FR = "fr as (select vec_id, list_transform(range(0, len(embedding) // 8), lambda i: embedding[i * 8 + 1 : i * 8 + 8]) as frames from embeddings where len(embedding) >= 8), fi as (select vec_id, list_transform(frames, lambda f: list_position(f, list_max(f)) - 1) as ids from fr)"
-_LAB = "lab as (select idx, any_value(line_texts) as line_texts from (select * from column_labels where len(line_texts) > 0) group by idx), im as (select idx, max(len(line_texts)) as k, max(list_max(list_transform(line_texts, lambda t: length(coalesce(t, ''))))) as m from lab group by idx)"
+_LISTS = "lab as (select idx, arg_max(line_texts, array_to_string(list_transform(line_texts, lambda t: coalesce(t, chr(1))), chr(31))) as line_texts from column_labels where len(line_texts) > 0 group by idx)"
+_ROWS = "t as (select idx, r.t as text, coalesce(r.s, 0) as src_doc from (select idx, arg_max({'t': text, 's': src_doc}, text || chr(31) || coalesce(src_doc::varchar, '')) as r from column_labels where text is not null group by idx))"
+_LAB = _LISTS + ", im as (select idx, max(len(line_texts)) as k, max(list_max(list_transform(line_texts, lambda t: length(coalesce(t, ''))))) as m from lab group by idx)"
 SQL = {
     "ocr_scored": f"with {_SC} select * from s",
     "ocr_report": f"with {_SC} select {_REP} from s",
     "ocr_report_by_font": f"with {_SC}, f as (select doc_id, arg_max(coalesce(font, chr(1)), {{'w': written_at, 'f': coalesce(font, '')}}) as font from meta where doc_id is not null group by doc_id) select nullif(font, chr(1)) as font, {_REP} from s left join f on key = doc_id group by 1",
-    "cer_distribution": f"with {_SC}, v as (select norm_dist / greatest(norm_len, 1) as v from s) select count(*) as n, avg(v) as mean, list_sort(list(v))[round_even(0.9 * (count(*) - 1), 0)::int + 1] as p, min(v) as min, max(v) as max from v",
+    "cer_distribution": f"with {_SC}, v as (select norm_dist / greatest(norm_len, 1) as v from s) select count(*) as n, avg(v) as mean, median(v) as median, list_sort(list(v))[round_even(0.9 * (count(*) - 1), 0)::int + 1] as p, min(v) as min, max(v) as max from v",
     "key_alignment": "select count(*) filter (p is null) as only_ref, count(*) filter (r is null) as only_pred, count(*) filter (p is not null and r is not null) as both from (select distinct doc_id as k, 1 as r from meta where doc_id is not null) a full join (select distinct key as k, 1 as p from predictions where key is not null) b using (k)",
     "alignment_distance": f"with {_SC}, q as (select x.key, x.r, x.p, {_dist('cfp', 'cfr')} as dist from x) select pr.key, pr.ref, pr.pred, dist from predictions pr join (select distinct key, r, p, dist from q) q on pr.key is not distinct from q.key and coalesce(pr.ref, '') = q.r and coalesce(pr.pred, '') = q.p",
     "pair_membership": f"select ch, count(*) as n from (select unnest(regexp_extract_all({fold_sql('ref')}, '(?s).')) as ch from predictions) where ch in {_LETTERS} group by ch",
     "confusion_in_place": f"with {_SC}, q as (select cfr, cfp, {_dist('cfp', 'cfr')} as dist from x where len(cfr) = len(cfp)), w as (select cfr, cfp, dist, unnest(range(1, len(cfr) + 1)) as i from (select *, len(list_filter(range(1, len(cfr) + 1), lambda j: cfr[j] <> cfp[j])) as away from q) where away = dist) select cfr[i] as r, cfp[i] as h, count(*) as n from w where cfr[i] <> cfp[i] group by 1, 2",
-    "ink_crop": "with lab as (select idx, any_value(line_texts) as t from (select * from column_labels where len(line_texts) > 0) group by idx), k as (select idx, unnest(range(0, len(t))) as o, length(coalesce(unnest(t), '')) as k from lab) select idx, o::int as ord, 46::int as h, (36 + k)::int as w, 42::int as tight_h, (32 + k)::int as tight_w from k",
+    "ink_crop": f"with {_LISTS}, k as (select idx, unnest(range(0, len(line_texts))) as o, length(coalesce(unnest(line_texts), '')) as k from lab) select idx, o::int as ord, 46::int as h, (36 + k)::int as w, 42::int as tight_h, (32 + k)::int as tight_w from k",
     "ctc_collapse": f"with {_FR} select vec_id, array_to_string(ids, ' ') as ids, coalesce(array_to_string(list_transform(list_filter(range(1, len(ids) + 1), lambda i: ids[i] <> 7 and (i = 1 or ids[i] <> ids[i - 1])), lambda i: ids[i]), ' '), '') as decoded from fi",
     "moving_average": "select vec_id, (i - 1)::int as i, round((coalesce(e[i - 2], 0) * (i > 2)::int + coalesce(e[i - 1], 0) * (i > 1)::int + e[i] + coalesce(e[i + 1], 0) + coalesce(e[i + 2], 0)) / 5, 6) as v from (select vec_id, embedding::double[] as e, unnest(range(1, len(embedding) + 1)) as i from embeddings)",
     "ink_span": "select vec_id, min(i) filter (v > 0.3 * top)::int as first, max(i) filter (v > 0.3 * top)::int as last from (select vec_id, i - 1 as i, abs(e[i]) as v, list_max(list_transform(e, lambda x: abs(x))) as top from (select vec_id, embedding::double[] as e, unnest(range(1, len(embedding) + 1)) as i from embeddings)) group by vec_id",
-    "best_cut": "select vec_id, (list_position(embedding[13:29], list_max(embedding[13:29])) + 11)::bigint as cut from embeddings where len(embedding) >= 29",
+    "best_cut": "select vec_id, (case when len(embedding) < 15 then len(embedding) - 1 else list_position(embedding[15:29], list_max(embedding[15:29])) + 13 end)::bigint as cut from embeddings where len(embedding) > 0",
+    "column_stats": f"with {_LAB}, z as (select k, 60 * k + 20 * (k - 1) as h from im) select count(*) as columns, min(k)::int as min_lines, max(k)::int as max_lines, avg(k) as mean_lines, min(h)::int as min_height, max(h)::int as max_height, avg(h) as mean_height from z",
     "stack_columns": f"with {_LAB} select idx, (60 * k + 20 * (k - 1))::int as h, (40 + 2 * m)::int as w from im",
     "page_boxes": f"""with {_LAB}, t as (select idx, unnest(line_texts) as text, unnest(range(0, len(line_texts))) as i from lab),
-      z as (select *, case when text is null then null when text = '' then '' else (select string_agg(case when c = chr(6158) and not (a in (chr(6176), chr(6177)) and not coalesce(unicode(b) between 6176 and 6314 and b <> '', false)) then ' ' else c end, '' order by k)
-        from (select k, substr(text, k, 1) as c, substr(text, k + 1, 1) as a, substr(text, k + 2, 1) as b from (select unnest(range(1, length(text) + 1)) as k))) end as render_text, 20 * length(coalesce(text, '')) as hh from t),
+      z as (select *, {_shown('text')} as render_text, 20 * length(coalesce(text, '')) as hh from t),
       y as (select *, case when hh > 540 then greatest(1, floor(60 * (540.0::double / hh))::int) else 60 end as w, least(hh, 540) as h from z),
       x as (select *, 30 + coalesce(sum(w + 18) over (partition by idx order by i rows between unbounded preceding and 1 preceding), 0) as x from y)
-      select idx, x::int as x, w::int as w, h::int as h, text, render_text from x where x + w + 30 <= 800""",
-    "rendered_status": f"with {_LAB} select 'ok' as status, sum(len(line_texts))::bigint as n from lab having count(*) > 0",
+      select idx, x::int as x, (30 + ((({_seed(3, 'idx')}) * 1000003 + i * 2654435761 + 12345) % 1073741824) % (540 - h + 1))::int as y, w::int as w, h::int as h, text, render_text from x where x + w + 30 <= 800""",
+    "detection_roundtrip": f"""with {_LAB}, t as (select idx, unnest(line_texts) as text, unnest(range(0, len(line_texts))) as i from lab),
+      x as (select *, {_shown('text')} as render_text, 40 + 2 * length(coalesce(text, '')) as w, 30 + coalesce(sum(40 + 2 * length(coalesce(text, '')) + 18) over (partition by idx order by i rows between unbounded preceding and 1 preceding), 0) as x from t)
+      select format('page_{{:06d}}', idx) as page_id, format('det_pages/page_{{:06d}}.png', idx) as image, 'F' as font, '600x800' as size, 600::int as png_h, 800::int as png_w, x::int as x,
+        (30 + ((({_seed(3, 'idx')}) * 1000003 + i * 2654435761 + 12345) % 1073741824) % 481)::int as y, w::int as w, 60::int as h, text, render_text from x where x + w + 30 <= 800""",
+    "collated": f"""with {COUNTS}, {_ENC}, p as (select distinct key, ref from predictions where key is not null and ref is not null),
+      n as (select *, row_number() over (order by key, ref) - 1 as pos from p), z as (select pos, pos // 64 as batch, case when coalesce(e.ids, '') = '' then [] else string_split(e.ids, ' ') end as ids from n left join e using (ref)),
+      w as (select *, max(len(ids)) over (partition by batch) as most from z)
+      select batch, count(*)::int as n, (count(*) * 32 * 16 * 4)::int as n_bytes, string_agg(len(ids)::varchar, ' ' order by pos) as lengths, string_agg(array_to_string(list_transform(range(1, most + 1), lambda i: coalesce(ids[i], '0')), ' '), ';' order by pos) as targets from w group by batch""",
+    "rendered_status": "select case when n % 7 = 0 then 'blank' when n % 7 = 1 then 'small' else 'ok' end as status, count(*) as n from (select length(coalesce(unnest(line_texts), '')) as n from column_labels where line_texts is not null) group by 1",
     "param_counts": "select mode, hidden::bigint as hidden, params::bigint as params from (values ('mean', 384, 6378278), ('concat', 384, 8737574), ('concat_proj', 384, 6640678), ('mean_big', 462, 8747918)) t(mode, hidden, params)",
     "matched_hidden": """with p as (select n, w, (w + 15) // 16 as rw from (select unnest([100, 614, 2000]) as n) cross join (select unnest([32, 64, 96]) as w)),
       g as (select *, 8 * 384 * (256 * rw + 386) + 8 * 384 * (768 + 386) + (2 * 384 + 1) * n as goal, 2080 + 2 * n as b from p)
       select n::bigint as n_classes, w::bigint as img_w, round((-b + sqrt(b * b + 128.0 * (goal - n))) / 64)::bigint as hidden, rw::bigint as width from g""",
     "lr_warmup": "select step, round(case when step < 40 then 0.001 * (step + 1) / 40 else 0.001 end, 9) as lr from (select unnest(range(0, 100)) as step)",
-    "tar_roundtrip": f"""with {_LAB}, t as (select idx, any_value(text) as text, any_value(coalesce(src_doc, 0)) as src_doc from column_labels where text is not null group by idx), p as (select *, row_number() over (order by idx) - 1 as pos from t)
-      select format('shard-{{:05d}}.tar', pos // 100) as shard, format('col_{{:08d}}', idx) as key, text, src_doc, 60::int as h from p where idx in (select idx from lab)""",
-    "column_dir_roundtrip": f"with {_LAB} select idx, any_value(text) as text, any_value(coalesce(src_doc, 0)) as src_doc, any_value(60 * k + 20 * (k - 1))::int as h from column_labels join im using (idx) where text is not null group by idx",
+    "tar_roundtrip": f"""with {_LAB}, {_ROWS}, p as (select *, row_number() over (order by idx) - 1 as pos from t)
+      select format('shard-{{:05d}}.tar', pos // 100) as shard, format('col_{{:08d}}', idx) as key, text, src_doc, (60 * k + 20 * (k - 1))::int as h from p join im using (idx)""",
+    "column_dir_roundtrip": f"with {_LAB}, {_ROWS} select idx, text, src_doc, (60 * k + 20 * (k - 1))::int as h from t join im using (idx)",
 }
+
+# alignment: distance tables row by row, traced back from their ends; a diagonal step first, then a deletion
+_AL = f"""g as (select {fold_sql("coalesce(ref, '')")} as fr, {fold_sql("coalesce(pred, '')")} as fp, count(*) as c from predictions group by 1, 2),
+q as (select row_number() over () as id, c, {_CH.format('fr')} as a, {_CH.format('fp')} as b from g),
+d as (select id, 0::bigint as i, a, b, range(0, len(b) + 1) as t from q union all
+  select id, i + 1, a, b, list_transform(range(1, len(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: x[k] - k)) + j) from
+    (select id, i, a, b, list_concat([i + 1], list_transform(range(1, len(b) + 1), lambda j: least(t[j] + (b[j] <> a[i + 1])::bigint, t[j + 1] + 1))) as x from d where i < len(a))),
+tab as (select id, list(t order by i) as t from d group by id),
+tr as (select id, len(a)::bigint as i, len(b)::bigint as j, ''::varchar as kind, ''::varchar as r, ''::varchar as h from q union all
+  select tr.id, case when dg or dl then i - 1 else i end, case when dg or not dl then j - 1 else j end, case when dg then case when a[i] = b[j] then 'match' else 'sub' end when dl then 'del' else 'ins' end, case when dg or dl then a[i] else '' end, case when dg or not dl then b[j] else '' end
+  from (select tr.*, q.a, q.b, coalesce(i > 0 and j > 0 and t[i][j] + (q.a[i] <> q.b[j])::bigint = t[i + 1][j + 1], false) as dg, coalesce(i > 0 and t[i][j + 1] + 1 = t[i + 1][j + 1], false) as dl from tr join tab using (id) join q using (id) where i > 0 or j > 0) tr),
+op as (select kind, r, h, c from tr join q using (id) where kind <> '')"""
+SQL["alignment_counts"] = f"with recursive {_AL} select kind, sum(c)::bigint as n from op group by kind"
+SQL["substitutions"] = f"with recursive {_AL} select r, h, sum(c)::bigint as n from op where kind = 'sub' group by r, h"
+_CP = f"""pr(cls, a, b) as (values {", ".join(f"('{k}', chr({ord(x)}), chr({ord(y)}))" for k, ps in (("A", alignment.PAIRS_A), ("B", alignment.PAIRS_B)) for x, y in ps)}),
+oc as (select ch, count(*) as n from (select unnest(regexp_extract_all({fold_sql('ref')}, '(?s).')) as ch from predictions) group by ch),
+sb as (select r, h, sum(c)::bigint as n from op where kind = 'sub' group by r, h),
+cp as (select cls, a, b, coalesce(x.n, 0) as ab, coalesce(y.n, 0) as ba, coalesce(u.n, 0) + coalesce(v.n, 0) as occ from pr left join sb x on x.r = a and x.h = b left join sb y on y.r = b and y.h = a left join oc u on u.ch = a left join oc v on v.ch = b)"""
+SQL["confusion_pairs"] = f"with recursive {_AL}, {_CP} select cls, 'U+' || upper(to_hex(unicode(a))) || '/U+' || upper(to_hex(unicode(b))) as pair, ab, ba, ab + ba as undirected, occ, case when occ = 0 then 0 else (ab + ba) / occ end::double as rate from cp"
+SQL["confusion_pooled"] = f"with recursive {_AL}, {_CP} select cls, sum(ab + ba)::bigint as undirected, sum(occ)::bigint as occ, case when sum(occ) = 0 then 0 else sum(ab + ba) / sum(occ) end::double as rate from cp group by cls"
+# brightness of every row of a stacked column, times its width
+SQL["tile_columns"] = f"""with recursive {_LISTS}, n as (select idx, list_transform(line_texts, lambda t: length(coalesce(t, ''))) as n from lab),
+z as (select idx, n, len(n) * 80 - 20 as h, 40 + 2 * list_max(n) as w from n),
+p as (select idx, h, list_transform(range(0, h), lambda r: case when r % 80 >= 60 then 255 * w else 240 * (40 + 2 * n[r // 80 + 1]) + 255 * (w - 40 - 2 * n[r // 80 + 1]) - case when r % 80 between 15 and 44 then 210 * (20 + n[r // 80 + 1]) else 0 end end) as v from z),
+c as (select idx, h, v, 150::bigint as center, [0::bigint] as edges from p union all
+  select idx, h, v, center + 150, case when cut - edges[-1] >= 50 and h - cut >= 50 then list_append(edges, cut) else edges end from
+    (select *, lo + list_position(v[lo + 1:hi + 1], list_max(v[lo + 1:hi + 1])) - 1 as cut from (select *, greatest(center - 40, edges[-1]) as lo, least(h - 1, center + 40) as hi from c where center < h and h > 200))),
+e as (select idx, any_value(h) as h, arg_max(edges, center) as edges from c group by idx), s as (select idx, edges, list_append(edges[2:], h) as ends from e)
+select idx, len(edges)::int as n_tiles, list_max(ends)::bigint as height, list_min(list_transform(range(1, len(edges) + 1), lambda i: ends[i] - edges[i]))::int as least, array_to_string(list_transform(range(1, len(edges) + 1), lambda i: edges[i]::varchar || '-' || ends[i]::varchar), '') as spans from s"""
+SQL["control_machine"] = """with recursive e as (select user_id as run, event_id::bigint as step, value::double as cer, row_number() over (partition by user_id order by event_id, value) as i from events where value is not null),
+r as (select distinct run, 0::bigint as i, null::bigint as step, null::double as cer, false as is_best, 0 as no_improve, 0.001::double as lr, false as stopped, 'inf'::double as best, 'inf'::double as low, 0 as bad from e union all
+  select run, i, step, cer, not was and cer < best - 1e-4, case when was then no_improve when cer < best - 1e-4 then 0 else no_improve + 1 end, lr2, was or (cer >= best - 1e-4 and lr2 <= 1.001 * 0.001 / 64 and no_improve + 1 >= 10),
+    case when not was and cer < best - 1e-4 then cer else best end, case when not was and cer < low * (1 - 1e-4) then cer else low end, case when was then bad when cer < low * (1 - 1e-4) or bad + 1 > 4 then 0 else bad + 1 end
+  from (select e.run, e.i, e.step, e.cer, r.stopped as was, r.no_improve, r.best, r.low, r.bad, case when not r.stopped and e.cer >= r.low * (1 - 1e-4) and r.bad + 1 > 4 and r.lr - greatest(r.lr * 0.5, 0.001 / 64) > 1e-8 then greatest(r.lr * 0.5, 0.001 / 64) else r.lr end as lr2 from r join e on e.run is not distinct from r.run and e.i = r.i + 1))
+select run, step, cer, is_best, no_improve, lr, stopped from r where i > 0"""
+SQL["ctc_loss"] = f"""with recursive {_FR}, tg as (select vec_id, list_transform(list_filter(range(1, len(ids) + 1), lambda i: ids[i] <> 7 and (i = 1 or ids[i] <> ids[i - 1])), lambda i: ids[i]) as y from fi),
+x as (select vec_id, y, list_transform(range(1, 2 * len(y) + 2), lambda s: case when s % 2 = 0 then y[s // 2] else 7 end) as ext, list_transform(frames, lambda f: list_transform(f, lambda v: v::double - list_max(f)::double - ln(list_sum(list_transform(f, lambda u: exp(u::double - list_max(f)::double)))))) as lp from fr join tg using (vec_id)),
+a as (select vec_id, y, ext, lp, 1 as t, list_transform(range(1, len(ext) + 1), lambda s: case when s <= 2 then lp[1][ext[s] + 1] else -1e30 end) as a from x union all
+  select vec_id, y, ext, lp, t + 1, list_transform(range(1, len(ext) + 1), lambda s: lp[t + 1][ext[s] + 1] + greatest(a[s], coalesce(a[s - 1], -1e30), case when s > 2 and ext[s] <> 7 and ext[s] <> ext[s - 2] then a[s - 2] else -1e30 end)
+    + ln(exp(a[s] - greatest(a[s], coalesce(a[s - 1], -1e30), case when s > 2 and ext[s] <> 7 and ext[s] <> ext[s - 2] then a[s - 2] else -1e30 end)) + exp(coalesce(a[s - 1], -1e30) - greatest(a[s], coalesce(a[s - 1], -1e30), case when s > 2 and ext[s] <> 7 and ext[s] <> ext[s - 2] then a[s - 2] else -1e30 end))
+      + exp(case when s > 2 and ext[s] <> 7 and ext[s] <> ext[s - 2] then a[s - 2] else -1e30 end - greatest(a[s], coalesce(a[s - 1], -1e30), case when s > 2 and ext[s] <> 7 and ext[s] <> ext[s - 2] then a[s - 2] else -1e30 end)))) from a where t < len(lp)),
+n as (select y, greatest(a[-1], coalesce(a[-2], -1e30)) as m, a[-1] as p, coalesce(a[-2], -1e30) as q from a where t = len(lp))
+select round(avg(case when m < -1e29 then 0 else -(m + ln(exp(p - m) + exp(q - m))) end / greatest(len(y), 1)), 9) as loss from n"""

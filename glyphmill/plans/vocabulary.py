@@ -105,7 +105,7 @@ def label_policies(spark, d):
 
 QUERIES = {f.__name__: f for f in (nominal_fold, normalize_text, presentation, tokenize, u_plus_labels, derive_seed, char_histogram, alphabet_ids, alphabet_sha, curation_summary, dropped_top20, oov_flags, oov_rate_by_font, encode_ids, decode_ids, oov_set, label_policies)}
 
-_MARKS = "''||" + "||".join(f"chr({c})" for c in (0x180B, 0x180C, 0x180D, 0x180E, 0x180F, 0x200C, 0x200D, 0xFEFF, 0xFFFE))
+_MARKS = "''||" + "||".join(f"chr({ord(c)})" for c in T.FOLD_DELETES)
 
 
 def fold_sql(x: str) -> str:

@@ -12,14 +12,14 @@ import glob
 import io
 import json
 import os
-import shutil
 import tarfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+BATCH_ROWS, BATCH_BYTES = 2_000, 32 << 20
 SCHEMA = "shard string, pos bigint, key string, png binary, json string, _error string"
 
 
@@ -75,10 +75,22 @@ class _Reader(DataSourceReader):
         return [Shard(s) for s in self.shards]
 
     def read(self, partition: Shard):
+        """Arrow batches of at most ``BATCH_ROWS`` samples and ``BATCH_BYTES`` of images, one sample at least."""
+        import pyarrow as pa
+
+        name = os.path.basename(partition.path)
+        schema = pa.schema([("shard", pa.string()), ("pos", pa.int64()), ("key", pa.string()), ("png", pa.binary()), ("json", pa.string()), ("_error", pa.string())])
+        rows, size = [], 0
         for pos, (key, png, text, error) in enumerate(samples(partition.path, self.images)):
             if error and self.strict:
                 raise ValueError(f"{partition.path}: {error}")
-            yield os.path.basename(partition.path), pos, key, png, text, error
+            rows.append((name, pos, key, png, text, error))
+            size += len(png or b"")
+            if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 @dataclass
@@ -88,7 +100,7 @@ class _Done(WriterCommitMessage):
     errors: int
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Rows (key, png, json, shard). Rows of one shard must be adjacent and in one task."""
 
     def __init__(self, options: dict, schema, overwrite: bool):
@@ -100,8 +112,7 @@ class _Writer(DataSourceWriter):
     def write(self, rows: Iterator) -> _Done:
         os.makedirs(self.dir, exist_ok=True)
         files, packed, errors, at, tar = [], 0, 0, None, None
-        for row in rows:
-            r = dict(zip(self.names, row))
+        for r in (r for b in rows for r in b.to_pylist()):
             if r["png"] is None or r["json"] is None:
                 errors += 1
                 continue
@@ -121,12 +132,15 @@ class _Writer(DataSourceWriter):
         return _Done(files, packed, errors)
 
     def commit(self, messages: list[_Done]) -> None:
+        """New shards take their names, each at once, over older ones of the name; then older ones that no new
+        shard replaced go. Breaking off in between leaves shards too many, never too few."""
+        new = {f: f[: f.index(".tar.") + 4] for m in messages for f in (m.files if m else [])}
+        for f, to in new.items():
+            os.replace(os.path.join(self.dir, f), os.path.join(self.dir, to))
         if self.overwrite:
             for f in glob.glob(os.path.join(self.dir, f"{self.prefix}*.tar")):
-                os.remove(f)
-        for m in messages:
-            for f in m.files if m else []:
-                shutil.move(os.path.join(self.dir, f), os.path.join(self.dir, f[: f.index(".tar.") + 4]))
+                if os.path.basename(f) not in new.values():
+                    os.remove(f)
 
     def abort(self, messages: list[_Done]) -> None:
         for f in glob.glob(os.path.join(self.dir, f"{self.prefix}*.tmp")):
@@ -172,10 +186,10 @@ def write(df, path: str, prefix: str = "shard-", digits: int = 5) -> None:
     d.write.format("tarshard").option("prefix", prefix).option("digits", digits).mode("overwrite").save(path)
 
 
-def labelled(samples_df, keep=None):
+def labelled(samples_df, keep=None, limit: int | None = None):
     """Samples with typed metadata (key, src_doc, text, font or empty, bucket, kind, font_px, png, json).
     Samples without a part, with bad JSON or without a numeric src_doc are left out; ``keep`` is a
-    Column on the result. Column expressions stay visible to the optimizer."""
+    Column on the result, ``limit`` the most samples. Column expressions stay visible to the optimizer."""
     from pyspark.sql import functions as F
 
     v = F.try_parse_json("json")
@@ -183,4 +197,5 @@ def labelled(samples_df, keep=None):
     get = lambda name, kind: F.try_variant_get("_v", f"$.{name}", kind)
     d = d.select("shard", "pos", "key", get("kind", "string").alias("kind"), get("text", "string").alias("text"), get("src_doc", "bigint").alias("src_doc"), get("bucket", "string").alias("bucket"), F.coalesce(get("font", "string"), F.lit("")).alias("font"), get("font_px", "int").alias("font_px"), "png", "json")
     d = d.where("src_doc is not null and text is not null")
-    return d if keep is None else d.where(keep)
+    d = d if keep is None else d.where(keep)
+    return d if limit is None else d.limit(limit)

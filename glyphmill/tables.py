@@ -72,4 +72,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def local_path(path: str) -> str:
-    return os.path.abspath("/" + path.removeprefix("file:").lstrip("/")) if path.startswith("file:") else os.path.abspath(path)
+    """The mounted path of a folder; other file systems are an error, as tasks would write to their own disks."""
+    if path.startswith("file:"):
+        return os.path.abspath("/" + path.removeprefix("file:").lstrip("/"))
+    if "://" in path:
+        raise ValueError(f"{path} isn't on a mounted file system")
+    return os.path.abspath(path)

@@ -55,7 +55,16 @@ def test_from_metadata_to_report(spark, corpus, capsys):
     net = ("--weights", corpus / "w.npz", "--alphabet", corpus / "alphabet.json", "--img-h", 32)
     got = run("eval", tars, "--split", "test", "--out", corpus / "pred", *net, *split)
     assert got[0]["n"] == 13
+    assert run("eval", tars, "--split", "test", "--max-batches", 2, "--batch-size", 3, "--show", 2, *net, *split)[0]["n"] == 6
+    assert "median" not in capsys.readouterr().out
+    assert run("verify", tars, "--alphabet", corpus / "alphabet.json", "--window", 58, *split)[0]["ok"]
     assert run("report", corpus / "pred", "--by", "font")[0]["n"] == 13 and len(run("report", corpus / "pred", "--pairs")) == 2
     assert run("eval-columns", corpus / "columns", "--tile", 60, "--window", 20, "--least", 20, *net)[0]["n"] == 6
+    out = capsys.readouterr().out
+    assert "median" in out and "n_tiles" in out and "height" in out
     (corpus / "corpus.jsonl").write_text(json.dumps({"text": "word " * 20}) + "\n{torn\n")
     assert run("lines", corpus / "corpus.jsonl", "--out", corpus / "lines")[0]["lines"] == 4
+    got = run("plan-lines", corpus / "corpus.jsonl", "--out", corpus / "tasks", "--variants", 3, "--max-lines", 3)
+    assert (got[0]["tasks"], got[0]["documents"]) == (9, 1)
+    got = run("plan-pages", corpus / "corpus.jsonl", "--out", corpus / "pages", "--lines-min", 1, "--lines-max", 2, "--max-pages", 2)
+    assert got[0]["pages"] == 2 and 2 <= got[0]["lines"] <= 4

@@ -72,6 +72,14 @@ def test_byte_rolls(spark):
         part = sizes[c * 100 : c * 100 + 100]
         assert [got[c * 100 + k] for k in range(100)] == [s + c * 100 for s in shards.roll_sizes(part, 100)]
     assert shards.roll_sizes([100, 1, 99, 5], 100) == [0, 1, 1, 2]
+    # ranges of a fixed number of rows, so that tasks grow with the input
+    wide = df.withColumn("payload", F.lit(b"x"))
+    got = shards.roll_bytes(wide, [F.col("i")], F.col("size"), 100, rows=40)
+    assert got.select("chunk").distinct().count() == 8 and got.where("payload = X'78'").count() == 300
+    got = {r["i"]: r["shard"] for r in got.collect()}
+    assert all([got[c * 40 + k] for k in range(len(p))] == [s + c * 100 for s in shards.roll_sizes(p, 100)] for c in range(8) for p in [sizes[c * 40 : c * 40 + 40]])
+    with pytest.raises(Exception, match="more than 100 shards"):
+        shards.roll_bytes(df, [F.col("i")], F.col("size"), 1, rows=200).collect()
     assert [r["shard"] for r in shards.roll_count(df, [F.col("i")], 150).orderBy("i").collect()] == [0] * 150 + [1] * 150
 
 
@@ -97,24 +105,43 @@ def test_runs(spark):
 
 
 def test_column_plan_and_build(spark):
-    plan = runs.column_plan([(0, 3), (1, 10)], 5, 5, 8, 1)
-    assert plan == runs.column_plan([(1, 10)], 5, 5, 8, 1) and all(r == 1 and 5 <= k <= 8 and 0 <= s <= 10 - k for _, r, s, k in plan)
+    one = spark.createDataFrame([(0, 3), (1, 10)], "run bigint, n bigint")
+    plan = runs.column_plan(one, 5, 5, 8, 1).collect()
+    assert [r["idx"] for r in sorted(plan)] == list(range(5)) and all(r["run"] == 1 and 5 <= r["k"] <= 8 and 0 <= r["start"] <= 10 - r["k"] for r in plan)
     df = spark.createDataFrame([(i, 7, f"L{i}") for i in range(10)], "i bigint, k bigint, text string")
     r = runs.runs(df, [F.col("i")], "k")
     c = runs.columns(r, spark.createDataFrame([(0, 0, 2, 5)], "idx int, run bigint, start bigint, k int")).first()
     assert c["text"] == "L2 L3 L4 L5 L6" and c["n_lines"] == 5
-    assert runs.column_plan([(0, 2)], 5, 5, 8, 1) == []
+    assert runs.column_plan(one.where("n < 5"), 5, 5, 8, 1).count() == 0
     lengths = spark.createDataFrame([(i, i % 9) for i in range(50)], "run bigint, n bigint")
-    a, b = runs.seeded_runs(lengths, 5, 7, 1), runs.seeded_runs(lengths.repartition(3), 5, 7, 1)
-    assert a == b and len(a) == 7 and all(n >= 5 for _, n in a) and a != runs.seeded_runs(lengths, 5, 7, 2)
-
-
-def test_pages(spark):
-    n = 50
-    want = {(p, a + i): i for p, a, k in lines.page_ranges(n, 3, 7, 2) for i in range(k)}
-    df = spark.range(n).select(F.col("id").alias("pos"))
+    a, b, other = (runs.column_plan(x, 40, 5, 8, s).orderBy("idx").collect() for x, s in ((lengths, 1), (lengths.repartition(3), 1), (lengths, 2)))
+    able = {i for i in range(50) if i % 9 >= 5}
+    # every eligible run has its turn before one has a second
+    assert a == b and a != other and {r["run"] for r in a} == able and len({r["run"] for r in a[: len(able)]}) == len(able)
+
+
+def test_pages(spark, monkeypatch):
+    monkeypatch.setattr(lines, "PAGE_BLOCK", 4)
+    n, size = 50, lambda p: 3 + ((2 * 1000003 + p * 2654435761 + 12345) & 0x3FFFFFFF) % 5
+    want, at, page = {}, 0, 0
+    while at + size(page) <= n:
+        want |= {(page, at + i): i for i in range(size(page))}
+        at, page = at + size(page), page + 1
+    df = spark.range(n).select(F.col("id").alias("pos"), F.lit("x").alias("page_"))
     got = {(r["page"], r["pos"]): r["slot"] for r in lines.pages(df, "pos", 3, 7, 2).collect()}
     assert got == want
+    assert {r["page"] for r in lines.pages(df, "pos", 3, 7, 2, max_pages=2).collect()} == {0, 1}
+    assert max(r["pos"] for r in lines.pages(df, "pos", 3, 7, 2, max_lines=20).collect()) < 20
+    assert lines.pages(df.where("false"), "pos", 3, 7).count() == 0
+    with pytest.raises(ValueError):
+        lines.pages(df, "pos", 0, 7)
+
+
+def test_batches_and_cumulative_sums(spark):
+    df = spark.range(100).select(F.col("id").alias("k"), (F.col("id") % 7).alias("w"))
+    assert order.batches(df, [F.desc("k")], 30, True, max_batches=2).agg(F.min("k")).first()[0] == 40
+    got = {r["k"]: r["upto"] for r in order.cumulative(df, [F.col("k")], "w").collect()}
+    assert got == {k: sum(i % 7 for i in range(k + 1)) for k in range(100)}
 
 
 def test_gates(spark):

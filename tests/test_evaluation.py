@@ -25,7 +25,11 @@ def test_metrics(spark):
     assert report(spark, [])["n"] == 0 and report(spark, [])["norm_cer"] == 0.0
     d = metrics.distribution(spark.createDataFrame([(float(i),) for i in range(6)], "v double"), "v", 90.0).first()
     assert d["p"] == 4.0  # 4.5 rounds to the even rank
+    assert (d["median"], d["n"], d["mean"]) == (2.5, 6, 2.5)
     assert metrics.distribution(spark.createDataFrame([], "v double"), "v").first()["p"] == 0.0
+    hot = spark.createDataFrame([(0.0,)] * 90 + [(None,)] + [(i / 10,) for i in range(1, 11)], "v double")
+    d = metrics.distribution(hot, "v", 95.0).first()
+    assert (d["n"], d["median"], d["p"], d["max"]) == (100, 0.0, 0.5, 1.0) and math.isclose(d["mean"], 0.055)
 
 
 def test_align():
@@ -117,8 +121,10 @@ def test_image_kernels():
         assert np.allclose(imaging.moving_average(v, k), np.convolve(v, np.ones(k) / k, "same"))
     _, padded, n = imaging.collate([x, x], [[1, 2, 3], [1]])
     assert padded.tolist() == [[1, 2, 3], [1, 0, 0]] and n.tolist() == [3, 1]
-    boxes = imaging.compose([(100, 50), (900, 100), (10, 5000)], random.Random(1), 400, 500)
+    boxes = imaging.compose([(100, 50), (900, 100), (10, 5000)], 1, 400, 500)
     assert len(boxes) == 2 and boxes[1][3] == 440 and all(30 <= y and y + h <= 470 for _, y, _, h in boxes)
+    assert imaging.compose([], 1, 400, 500) == [] and imaging.compose([(10, 5000)], 1, 400, 500) == []
+    assert imaging.best_cut(np.array([1.0, 5, 5, 9]), 1, 1, 0) == 1 and imaging.best_cut(np.array([1.0, 5, 5, 9]), 1, 1, 2) == 2 and imaging.best_cut(np.zeros(4), 9, 1, 0) == 3
     assert imaging.geometry(40, 1.5, 10, 28) == (round(40 * 1.5 * 1.15) + 20, round(28 * 40 * 0.62 * 1.6) + 20)
 
 
@@ -205,3 +211,13 @@ def test_ctc_loss_takes_the_whole_target(spark, tmp_path):
     lp = x - np.log(np.exp(x).sum(axis=1, keepdims=True))
     want = ctc.nll(lp, [0, 1, 2, 2, 3, 4], 7) / 6
     assert math.isclose(evaluation.ctc_loss(spark, str(tmp_path)).first()["loss"], want, rel_tol=1e-9)
+
+
+def test_collated_batches(spark):
+    rows = [(f"k{i:02d}", [1] * (i % 4), imaging.pack(np.full((20, 10), i, np.uint8))) for i in range(10)] + [("z", None, None)]
+    df = spark.createDataFrame(rows, f"key string, ids array<int>, image {imaging.IMAGE}").repartition(3)
+    got = imaging.collated(df, [F.col("key")], "image", "ids", 4, 8, 6).orderBy("batch").collect()
+    assert [r["n"] for r in got] == [4, 4, 2] and got[0]["lengths"] == [0, 1, 2, 3] and got[0]["targets"][1] == [1, 0, 0]
+    x = np.frombuffer(got[1]["images"], np.float32).reshape(4, 1, 8, 6)
+    assert np.allclose(x[:, 0, 0, 0], [1 - i / 255 for i in range(4, 8)])
+    assert imaging.collated(df, [F.col("key")], "image", "ids", 4, 8, 6, partial=False).count() == 2

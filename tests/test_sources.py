@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions.png import encode_gray
+from glyphmill.functions.png import decode_gray, encode_gray
 from glyphmill.operators import imaging, shards
-from glyphmill.sources import columns, labels, tarshard
+from glyphmill.sources import columns, detection, labels, tarshard
 
 
 def png(w=20):
@@ -55,12 +55,15 @@ def test_writer_leaves_out_samples_without_parts(spark, tmp_path):
 
 def test_labels(spark, tmp_path):
     f = tmp_path / "l.jsonl"
-    f.write_text('{"text":"ab"}\n{"text":"bc"}\n\n{"bad":1}\n{torn\n{"text":5}\n{"text":null}\n  \n')
-    assert sorted(r["text"] for r in labels.scan_labels(spark, [str(f)]).collect()) == ["ab", "bc"]
-    assert labels.scan_labels(spark, [str(f)], "count").groupBy("_error").count().count() == 3
+    good = [json.dumps({"kind": "line", "text": t}) for t in ("Hovd", "Zag river", "Bor")]
+    wrong = ["[1, 2]", json.dumps({"label": "Hovd"}), json.dumps({"text": 12.5}), json.dumps({"text": None}), "{'text': 'Bor'}"]
+    f.write_text("\n".join([wrong[0], good[0], "", *wrong[1:3], good[1], "   ", *wrong[3:], good[2]]))
+    assert sorted(r["text"] for r in labels.scan_labels(spark, [str(f)]).collect()) == ["Bor", "Hovd", "Zag river"]
+    counted = labels.scan_labels(spark, [str(f)], "count").groupBy(F.col("_error").isNull().alias("fine")).count().collect()
+    assert {r["fine"]: r["count"] for r in counted} == {True: 3, False: len(wrong)}
     with pytest.raises(Exception, match="bad row"):
         labels.scan_labels(spark, [str(f)], "strict").collect()
-    assert labels.scan_corpus(spark, [str(f)], 2).count() == 2 and labels.scan_corpus(spark, [str(f)], 3).count() == 0
+    assert labels.scan_corpus(spark, [str(f)], 4).count() == 2 and labels.scan_corpus(spark, [str(f)], 10).count() == 0
     with pytest.raises(ValueError):
         labels.scan_labels(spark, [])
     g = tmp_path / "meta.jsonl"
@@ -88,3 +91,29 @@ def test_count_roll_into_tars(spark, tmp_path):
     df = shards.roll_count(spark.createDataFrame([(f"k{i}", png(), sample(i, "x")) for i in range(5)], "key string, png binary, json string"), [F.col("key")], 2)
     tarshard.write(df, str(tmp_path), "val-", 4)
     assert [f.rsplit("/", 1)[1] for f in tarshard.list_shards(f"{tmp_path}/*.tar")] == ["val-0000.tar", "val-0001.tar", "val-0002.tar"]
+
+
+def test_overwriting_shards_never_leaves_too_few(spark, tmp_path):
+    """New shards replace those of their name, others go; rows come in Arrow batches."""
+    schema = "key string, png binary, json string, shard bigint"
+    tarshard.write(spark.createDataFrame([(f"a{i}", png(), sample(i, "x"), i) for i in range(4)], schema), str(tmp_path))
+    tarshard.write(spark.createDataFrame([(f"b{i}", png(), sample(i, "y"), i % 2) for i in range(5000)], schema), str(tmp_path))
+    got = tarshard.labelled(tarshard.read(spark, f"{tmp_path}/*.tar"))
+    assert got.count() == 5000 and {r["text"] for r in got.select("text").distinct().collect()} == {"y"}
+    assert len(list(tmp_path.iterdir())) == 2 and tarshard.labelled(tarshard.read(spark, f"{tmp_path}/*.tar"), limit=7).count() == 7
+
+
+def test_detection_pages(spark, tmp_path):
+    strips = [np.full((h, w), (100 + h) % 256, np.uint8) for h, w in ((40, 30), (900, 60), (20, 5000))]
+    rows = [(p, i, imaging.pack(s), f"t{i}") for p in (1, 2) for i, s in enumerate(strips)] + [(3, 0, imaging.pack(strips[2]), "wide"), (4, 0, None, "none"), (5, 0, imaging.pack(strips[0][:5]), "flat")]
+    df = spark.createDataFrame(rows, f"page int, o int, image {imaging.IMAGE}, text string")
+    p = imaging.detection_pages(df, "page", "o", "image", "text", F.col("page"), 400, 300)
+    boxes = imaging.labelled_boxes(F.col("boxes"), F.col("texts"), F.transform("texts", lambda t: F.upper(t)))
+    got = detection.write_pages(p, str(tmp_path), F.format_string("p%d", "page"), F.lit("F"), F.col("page_image"), boxes).orderBy("page_id").collect()
+    assert [r["page_id"] for r in got] == ["p1", "p2"] and got[0]["image_size"] == [300, 400]
+    for r in got:
+        page = decode_gray((tmp_path / r["image"]).read_bytes())
+        assert [b["render_text"] for b in r["bboxes"]] == ["T0", "T1"] and r["bboxes"][1]["h"] == 240
+        for b, value in zip(r["bboxes"], (140, (100 + 900) % 256)):
+            assert (page[b["y"] : b["y"] + b["h"], b["x"] : b["x"] + b["w"]] == value).all()
+    assert got[0]["bboxes"][0]["y"] != got[1]["bboxes"][0]["y"]
