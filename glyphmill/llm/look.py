@@ -31,42 +31,55 @@ from pyspark.sql import types as T
 FOLD_DELETES = (0x180B, 0x180C, 0x180D, 0x180E, 0x180F, 0x200C, 0x200D, 0xFEFF, 0xFFFE)
 OTHER_INVISIBLE = (0x00AD, 0x034F, 0x061C, 0x200B, 0x200E, 0x200F, 0x2060, 0x2061, 0x2062, 0x2063, 0x2064)
 
-# Letters drawn alike, one row a shape; columns Latin, Cyrillic, Greek ("." = none).
+# Letters drawn alike, one row a shape; columns Latin, Cyrillic, Greek, Armenian, Cherokee, Coptic
+# ("." = none). Letters that both occur in words of one orthography stay apart (such as U+0423 and U+04AE).
 LOOKALIKES = """
-A А Α
-B В Β
-C С Ϲ
-E Е Ε
-H Н Η
-I І Ι
-J Ј Ϳ
-K К Κ
-M М Μ
-N . Ν
-O О Ο
-P Р Ρ
-Q Ԛ .
-S Ѕ .
-T Т Τ
-W Ԝ .
-X Х Χ
-Y Ү Υ
-Z . Ζ
-a а .
-c с ϲ
-e е .
-h һ .
-i і .
-j ј ϳ
-o о ο
-p р .
-q ԛ .
-s ѕ .
-w ԝ .
-x х .
-y у .
+A А Α . Ꭺ Ⲁ
+B В Β . Ᏼ Ⲃ
+C С Ϲ . Ꮯ Ⲥ
+D . . . Ꭰ .
+E Е Ε . Ꭼ .
+G Ԍ . . Ꮐ .
+H Н Η . Ꮋ Ⲏ
+I І Ι . . Ⲓ
+J Ј Ϳ . Ꭻ .
+K К Κ . Ꮶ Ⲕ
+L . . Լ Ꮮ .
+M М Μ . Ꮇ Ⲙ
+N . Ν . . Ⲛ
+O О Ο Օ . Ⲟ
+P Р Ρ . Ꮲ Ⲣ
+Q Ԛ . . . .
+R . . . Ꭱ .
+S Ѕ . Տ Ꮪ .
+T Т Τ . Ꭲ Ⲧ
+U . . Ս . .
+V Ѵ . . Ꮩ .
+W Ԝ . . Ꮃ .
+X Х Χ . . Ⲭ
+Y Ү Υ . . Ⲩ
+Z . Ζ . Ꮓ Ⲍ
+a а . . . .
+c с ϲ . . ⲥ
+d ԁ . . . .
+e е . . . .
+g . . ց . .
+h һ . հ . .
+i і . . . .
+j ј ϳ յ . .
+l ӏ . . . .
+n . . ո . .
+o о ο օ . ⲟ
+p р . . . ⲣ
+q ԛ . զ . .
+s ѕ . . . .
+u . . ս . .
+v ѵ ν . . .
+w ԝ . . . .
+x х . . . ⲭ
+y у . . . .
 """
-SCRIPT_ORDER = ("Latin", "Cyrillic", "Greek")
+SCRIPT_ORDER = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Coptic")
 
 _ROWS = [line.split() for line in LOOKALIKES.split("\n") if line]
 #: letter -> row of its shape
@@ -75,15 +88,15 @@ _CACHE_TERMS = 400_000
 
 
 def _plain_forms() -> dict[int, str | None]:
-    """Full-width forms, no-break forms, ligatures, kinds of space and invisible marks, by rule from
-    the Unicode data: only wide, no-break and Latin-ligature compatibility forms are undone."""
+    """Full- and half-width forms, no-break forms, letters in another style, ligatures, kinds of space and
+    invisible marks, by rule from the Unicode data: no other compatibility form is undone."""
     table: dict[int, str | None] = {}
-    for cp in (*range(0xA0, 0xD800), *range(0xF900, 0x10000)):
+    for cp in (*range(0xA0, 0xD800), *range(0xF900, 0x20000)):
         ch = chr(cp)
         form = unicodedata.decomposition(ch)
         if unicodedata.category(ch) == "Zs":
             table[cp] = " "
-        elif form.startswith(("<wide>", "<noBreak>")) or 0xFB00 <= cp <= 0xFB06:
+        elif form.startswith(("<wide>", "<narrow>", "<noBreak>")) or 0xFB00 <= cp <= 0xFB06 or (form.startswith("<font>") and unicodedata.category(ch)[0] == "L"):
             table[cp] = unicodedata.normalize("NFKC", ch)
     table |= {0x2010: "-", 0x2011: "-"}
     table |= {cp: None for cp in (*FOLD_DELETES, *OTHER_INVISIBLE, *range(0xFE00, 0xFE10))}
@@ -128,7 +141,12 @@ def _spell(token: str) -> str:
     if _SETTLED.fullmatch(token):
         return token
     able, _ = token_scripts(token)
-    column = next((i for i, s in enumerate(SCRIPT_ORDER) if s in able), None)
+    return respelled(token, next((s for s in SCRIPT_ORDER if s in able), None))
+
+
+def respelled(token: str, script: str | None) -> str:
+    """The token with its look-alikes in one script; with None each in the first that has its shape."""
+    column = SCRIPT_ORDER.index(script) if script else None
     out = []
     for ch in unicodedata.normalize("NFD", token):
         row = _SHAPE.get(ch)
@@ -138,6 +156,32 @@ def _spell(token: str) -> str:
     return unicodedata.normalize("NFC", "".join(out))
 
 
+def corrected(text: str | None) -> str | None:
+    """A text fit for a corpus: forms undone, and every token that several scripts can spell in one script: that of
+    most tokens of the text that only one can spell, if it is among them; else a token of one script stays in
+    it, and a mixed one takes the script that most of its letters come from. Words that are right in their script
+    stay as they are, unlike in the form for comparing."""
+    if text is None or text.isascii():
+        return text
+    tokens = plain_forms(text).split(" ")
+    seen: dict[str, tuple[set[str], set[str]]] = {t: token_scripts(t) for t in set(tokens) if t and not _SETTLED.fullmatch(t)}
+    sure: dict[str, int] = {}
+    for t in tokens:
+        if t in seen and len(seen[t][0]) == 1:
+            s = next(iter(seen[t][0]))
+            sure[s] = sure.get(s, 0) + 1
+    main = min(sure, key=lambda s: (-sure[s], s), default=None)
+    new = {}
+    for t, (able, own) in seen.items():
+        script = None
+        if len(able) > 1:
+            script = main if main in able else next(iter(own)) if len(own) == 1 else max((s for s in SCRIPT_ORDER if s in able), key=lambda s: sum(ch in _SHAPE and ch == _SHAPE[ch][SCRIPT_ORDER.index(s)] for ch in unicodedata.normalize("NFD", t)))
+        elif len(able) == 1 and len(own) > 1:
+            script = next(iter(able))
+        new[t] = respelled(t, script) if script in SCRIPT_ORDER else unicodedata.normalize("NFC", t)
+    return " ".join([new.get(t, t) for t in tokens])
+
+
 def kind_of_token(token: str) -> str:
     """``mixed``: letters of several scripts that one script can spell; ``whole``: letters of one
     script that another can spell; ``plain``: neither."""
@@ -177,6 +221,19 @@ def consistent(text: str | None) -> str | None:
     return Speller().text(text)
 
 
+def corrected_column(spark_df, column: str, to: str):
+    """``spark_df`` with ``corrected`` of string column ``column`` as ``to``."""
+    schema = T.StructType([f for f in spark_df.schema if f.name != to] + [T.StructField(to, T.StringType())])
+
+    def run(batches):
+        for b in batches:
+            keep = [n for n in b.schema.names if n != to]
+            out = pa.array([corrected(t) for t in b.column(b.schema.get_field_index(column)).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(n)) for n in keep] + [out], keep + [to])
+
+    return spark_df.mapInArrow(run, schema)
+
+
 def look_column(spark_df, column: str, to: str):
     """``spark_df`` with the consistent form of string column ``column`` as ``to`` (Arrow batches, one
     speller for each task)."""

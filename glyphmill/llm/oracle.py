@@ -17,18 +17,26 @@ SQL = {
 }
 
 
+# Fixed values, of the SQL's own: letters that look like those above or below them in LATIN, script by script.
+_TWINS = (
+    ("АВСЕНІЈКМОРԚЅТԜХҮԌѴасеһіјорԛѕԝхуԁӏѵ", "ABCEHIJKMOPQSTWXYGVacehijopqswxydlv"),
+    ("ΑΒϹΕΗΙͿΚΜΝΟΡΤΧΥΖϲϳον", "ABCEHIJKMNOPTXYZcjov"),
+    ("ԼՕՏՍցհյոօզս", "LOSUghjnoqu"),
+    ("ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPRSTVWZ"),
+    ("ⲀⲂⲤⲎⲒⲔⲘⲚⲞⲢⲦⲬⲨⲌⲥⲟⲣⲭ", "ABCHIKMNOPTXYZcopx"),
+)
+#: marks that don't show: those of the nominal fold, soft hyphen, joiners, directions, variation selectors
+_GONE = "\u180b\u180c\u180d\u180e\u180f\u200c\u200d\ufeff\ufffe\u00ad\u034f\u061c\u200b\u200e\u200f\u2060\u2061\u2062\u2063\u2064" + "".join(map(chr, range(0xFE00, 0xFE10)))
+
+
 def _look_sql(x: str) -> str:
     """A form in which equal looks are equal: by character instead of by token, so it is another route to
-    the same classes as the operator's spelling."""
+    the same classes as the operator's spelling, with tables of its own."""
     from unicodedata import normalize
 
-    from glyphmill.llm.look import FOLD_DELETES, LOOKALIKES, OTHER_INVISIBLE
-
     spaces = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
-    pairs = [(chr(c), " ") for c in spaces] + [(chr(c + 0xFEE0), chr(c)) for c in range(0x21, 0x7F)] + [(chr(0x2010), "-"), (chr(0x2011), "-")]
-    gone = "".join(map(chr, (*FOLD_DELETES, *OTHER_INVISIBLE, *range(0xFE00, 0xFE10))))
-    first = [r.split() for r in LOOKALIKES.split("\n") if r]
-    like = {c: r[0] for r in first for c in r[1:] if c != "."}
+    pairs = [(chr(c), " ") for c in spaces] + [(chr(c + 0xFEE0), chr(c)) for c in range(0x21, 0x7F)] + [("\u2010", "-"), ("\u2011", "-")]
+    like = {a: b for twins, latin in _TWINS for a, b in zip(twins, latin, strict=True)}
     for c, latin in list(like.items()):
         for mark in map(chr, range(0x300, 0x315)):
             a, b = normalize("NFC", c + mark), normalize("NFC", latin + mark)
@@ -39,7 +47,7 @@ def _look_sql(x: str) -> str:
         return "'" + s.replace("'", "''") + "'"
 
     x = f"replace(replace({x}, chr(64257), 'fi'), chr(64258), 'fl')"
-    x = f"nfc_normalize(translate({x}, {lit(''.join(a for a, _ in pairs) + gone)}, {lit(''.join(b for _, b in pairs))}))"
+    x = f"nfc_normalize(translate({x}, {lit(''.join(a for a, _ in pairs) + _GONE)}, {lit(''.join(b for _, b in pairs))}))"
     return f"nfc_normalize(translate({x}, {lit(''.join(like))}, {lit(''.join(like.values()))}))"
 
 
@@ -48,6 +56,10 @@ SQL["p4_found"] = f"""with {_STOCK}, m as (select distinct doc_id as key, text a
 c as (select distinct column_key as key, line_texts as raw, list_transform(line_texts, lambda t: {_look_sql('t')}) as k from column_labels where column_key is not null and len(line_texts) > 0)
 select distinct 'meta.text' as field, a.key as key_a, b.key as key_b from m a join m b on a.k = b.k and a.key < b.key and a.raw <> b.raw where a.k not in (select k from stock)
 union all select distinct 'column_labels.line_texts', a.key, b.key from c a join c b on a.k = b.k and a.key < b.key and a.raw <> b.raw"""
+_CLASSES = "y as (select field, k, min(key) as class, count(distinct key) as n_keys, count(distinct raw) as n_spellings from x group by field, k having count(distinct raw) > 1)"
+SQL["p4_classes"] = f"""with {_STOCK}, x as (select 'meta.text' as field, doc_id as key, text as raw, [{_look_sql('text')}] as k from meta where doc_id is not null and text <> '' and {_look_sql('text')} not in (select k from stock)
+  union all select 'column_labels.line_texts', column_key, array_to_string(list_transform(line_texts, lambda t: coalesce('+' || t, '-')), chr(30)), list_transform(line_texts, lambda t: {_look_sql('t')}) from column_labels where column_key is not null and len(line_texts) > 0), {_CLASSES}
+select distinct field, key, class, n_keys, n_spellings from x join y using (field, k)"""
 SQL["p2_found"] = f"""with recursive {_STOCK}, h as (select distinct src_doc, {_look_sql('text')} as k from meta where src_doc is not null and text <> ''),
 e as (select distinct a.src_doc as a, b.src_doc as b from h a join h b using (k) where k not in (select k from stock) and a.src_doc <> b.src_doc),
 r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)

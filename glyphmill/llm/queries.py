@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.llm import bpe, frequency, harm, leaks, looks_alike, packing, splits
-from glyphmill.llm.look import look_column
+from glyphmill.llm.look import corrected_column, look_column
 from glyphmill.tables import SharedTable, table
 
 SHARES = {"train": 0.8, "val": 0.1, "test": 0.1}
@@ -61,15 +61,29 @@ def p3_coverage(spark: SparkSession, d: str) -> DataFrame:
     return leaks.coverage_report(docs, leaks.Overlaps(docs))
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
+def _look_values(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     texts = looks_alike.text_values(table(spark, d, "meta"), table(spark, d, "stock_lines"), "doc_id", "text")
-    lists = looks_alike.list_looks(table(spark, d, "column_labels"), "column_key", "line_texts")
-    return looks_alike.pairs(texts).select(F.lit("meta.text").alias("field"), "key_a", "key_b").unionByName(looks_alike.pairs(lists).select(F.lit("column_labels.line_texts").alias("field"), "key_a", "key_b"))
+    return {"meta.text": texts, "column_labels.line_texts": looks_alike.list_looks(table(spark, d, "column_labels"), "column_key", "line_texts")}
+
+
+def _of_fields(spark: SparkSession, d: str, what) -> DataFrame:
+    texts, lists = (what(v).select(F.lit(n).alias("field"), "*") for n, v in _look_values(spark, d).items())
+    return texts.unionByName(lists)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return _of_fields(spark, d, looks_alike.pairs)
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of equal looks in several spellings, by class."""
+    return _of_fields(spark, d, looks_alike.classes)
 
 
 def p4_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Every document in its consistent form."""
-    return look_column(table(spark, d, "documents").select("doc_id", "text"), "text", "form").select("doc_id", "form")
+    """Every document in its form for comparing, and corrected for use in a corpus."""
+    docs = look_column(table(spark, d, "documents").select("doc_id", "text"), "text", "form")
+    return corrected_column(docs, "text", "corrected").select("doc_id", "form", "corrected")
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -107,4 +121,4 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return harm.rates(p8_scores(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_splits, p2_shares, p2_units, p3_found, p3_report, p3_coverage, p4_found, p4_documents, p6_ids, p7_packed, p7_report, p7_check, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_frequencies, p2_found, p2_splits, p2_shares, p2_units, p3_found, p3_report, p3_coverage, p4_found, p4_classes, p4_documents, p6_ids, p7_packed, p7_report, p7_check, p8_found, p8_scores, p8_rates)}
