@@ -105,12 +105,15 @@ def _plain_forms() -> dict[int, str | None]:
 
 _FORMS = _plain_forms()
 _SWAPS = {chr(cp): form or "" for cp, form in _FORMS.items()}
-_SWAPPED = re.compile("[" + "".join(map(re.escape, _SWAPS)) + "]")
+# one class each: beyond U+FFFF a class of single characters would be searched one by one
+_SWAPPED = re.compile("[" + "".join(re.escape(c) for c in _SWAPS if c <= "\uffff") + "]")
+_BEYOND = re.compile("[\U00010000-\U0001ffff]")
 
 
 def plain_forms(text: str) -> str:
     """A text with those forms undone (cheaper than ``translate``, as few characters are concerned)."""
-    return _SWAPPED.sub(lambda m: _SWAPS[m[0]], text)
+    text = _SWAPPED.sub(lambda m: _SWAPS[m[0]], text)
+    return _BEYOND.sub(lambda m: _SWAPS.get(m[0], m[0]), text) if _BEYOND.search(text) else text
 
 
 def token_scripts(token: str) -> tuple[set[str], set[str]]:
