@@ -49,7 +49,10 @@ class Merges:
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model, cut = file["model"], file.get("pre_tokenizer") or {}
+        if model.get("type", "BPE") != "BPE" or file.get("normalizer") or cut.get("type") != "ByteLevel" or not cut.get("use_regex", True) or cut.get("add_prefix_space"):
+            raise ValueError(f"{path} is no byte-level BPE with the pattern built in")
         vocab = model["vocab"]
         self.byte_ids = np.zeros(256, np.int32)
         for ch, b in _byte_chars().items():

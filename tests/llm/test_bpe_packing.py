@@ -125,3 +125,8 @@ def test_packing_depends_on_the_rows_only(spark, monkeypatch):
     assert got["n_documents"] == len(rows) and not any(got[c] for c in ("n_overfull", "n_overlapping", "n_cut", "n_wrong"))
     lost = packing.pack(df, 1000, empty=True).where("n_tokens < 500")
     assert packing.check(df, lost, 200).first()["n_wrong"] > 0
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Merges(f"{bpe.TOKENIZER_DIR}/word_bpe_49k.json")
