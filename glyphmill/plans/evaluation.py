@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from glyphmill.functions.text import chars, derive_seed, nominal_fold, presentation
-from glyphmill.operators import alignment, control, ctc, imaging, metrics, model, shards
+from glyphmill.operators import alignment, attempts, control, ctc, imaging, metrics, model, shards
 from glyphmill.operators.alphabet import Alphabet, histogram
 from glyphmill.plans.vocabulary import _ENC, COUNTS, MIN_COUNT, fold_sql, tokens_sql
 from glyphmill.sources import columns, detection, tarshard
@@ -228,6 +228,19 @@ def rendered_status(spark, d):
     return img.groupBy(s.alias("status")).agg(F.count("*").alias("n"))
 
 
+def render_attempts(spark, d):
+    """Lines drawn by a renderer that fails at first for some, and always for others: tried three times, then dropped."""
+    def draw(line: str | None, attempt: int) -> int | None:
+        n = len(line or "")
+        if attempt <= n % 5:
+            raise RuntimeError("no answer")
+        return None if n % 7 == 0 else imaging.pack(np.full((10 + n, 20), 240, np.uint8))["h"]
+
+    lines = table(spark, d, "column_labels").where("line_texts is not null").select(F.explode("line_texts").alias("line"))
+    got = attempts.attempted(lines, "line", draw, "int", 3)
+    return got.groupBy("status", "tries").agg(F.count("*").alias("n"), F.coalesce(F.sum("result"), F.lit(0)).alias("height"))
+
+
 def read_columns_model(spark, d):
     """Untrained recognition of each line at production sizes: the plumbing of a model's batch inference.
     Lines are spread first, as their labels are few bytes beside the work that they cause."""
@@ -282,7 +295,7 @@ def column_dir_roundtrip(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (ocr_scored, ocr_report, ocr_report_by_font, cer_distribution, key_alignment, alignment_counts, alignment_distance, substitutions, confusion_pairs, confusion_pooled, confusion_in_place, pair_membership, ctc_collapse, ctc_loss, moving_average, ink_span, best_cut, stack_columns, column_stats, tile_columns, ink_crop, page_boxes, detection_roundtrip, collated, rendered_status,
+    for f in (ocr_scored, ocr_report, ocr_report_by_font, cer_distribution, key_alignment, alignment_counts, alignment_distance, substitutions, confusion_pairs, confusion_pooled, confusion_in_place, pair_membership, ctc_collapse, ctc_loss, moving_average, ink_span, best_cut, stack_columns, column_stats, tile_columns, ink_crop, page_boxes, detection_roundtrip, collated, rendered_status, render_attempts,
               read_columns_model, param_counts, matched_hidden, lr_warmup, control_machine, tar_roundtrip, column_dir_roundtrip)
 }
 
@@ -401,3 +414,5 @@ a as (select vec_id, y, ext, lp, 1 as t, list_transform(range(1, len(ext) + 1),
       + exp(case when s > 2 and ext[s] <> 7 and ext[s] <> ext[s - 2] then a[s - 2] else -1e30 end - greatest(a[s], coalesce(a[s - 1], -1e30), case when s > 2 and ext[s] <> 7 and ext[s] <> ext[s - 2] then a[s - 2] else -1e30 end)))) from a where t < len(lp)),
 n as (select y, greatest(a[-1], coalesce(a[-2], -1e30)) as m, a[-1] as p, coalesce(a[-2], -1e30) as q from a where t = len(lp))
 select round(avg(case when m < -1e29 then 0 else -(m + ln(exp(p - m) + exp(q - m))) end / greatest(len(y), 1)), 9) as loss from n"""
+SQL["render_attempts"] = """select case when n % 5 > 2 then 'dropped' when n % 7 = 0 then 'empty' else 'ok' end as status, least(3, n % 5 + 1)::int as tries, count(*) as n, coalesce(sum(case when n % 5 <= 2 and n % 7 <> 0 then 10 + n end), 0)::bigint as height
+from (select length(coalesce(unnest(line_texts), '')) as n from column_labels where line_texts is not null) group by 1, 2"""

@@ -52,19 +52,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: folders of the tables that weren't dropped yet
+_kept: set[str] = set()
+
+
 class SharedTable:
-    """A frame written once to the shared folder and read from there; ``drop`` removes it."""
+    """A frame written once to the shared folder and read from there; ``drop`` removes it, ``drop_tables`` all
+    that are left."""
 
     def __init__(self, df: DataFrame, codec: str = "zstd"):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/glyphmill-{uuid.uuid4().hex}"
         df.write.option("compression", codec).parquet(self.path)
+        _kept.add(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.path)
-        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        _remove(self.spark, self.path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _kept.discard(path)
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Removes every shared table written so far; frames that read them, results too, can't be read any more."""
+    for path in list(_kept):
+        _remove(spark, path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

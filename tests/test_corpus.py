@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.operators import bands, lines, order, quality, runs, shards
+from glyphmill.operators import attempts, bands, lines, order, quality, runs, shards
 
 
 def test_bands(spark):
@@ -151,3 +151,29 @@ def test_gates(spark):
     assert quality.duplicate_keys(df.where("false"), "k").first()["n_duplicates"] == 0
     with pytest.raises(ValueError):
         quality.require_rows(df.where("false"), "samples")
+
+
+def test_attempts(spark):
+    def kernel(v, attempt):
+        if v is None or attempt < v:
+            raise ValueError(f"{v} at {attempt}")
+        return None if v == 2 else [float(v)]
+
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (None, "e")], "v int, other string")
+    got = {r["other"]: (r["result"], r["status"], r["tries"], r["error"]) for r in attempts.attempted(df, "v", kernel, "array<double>", 3).collect()}
+    assert got == {"a": ([1.0], "ok", 1, None), "b": (None, "empty", 2, None), "c": ([3.0], "ok", 3, None), "d": (None, "dropped", 3, "ValueError: 4 at 3"), "e": (None, "dropped", 3, "ValueError: None at 3")}
+    assert attempts.attempted(df.where("false"), "v", kernel, "array<double>").count() == 0
+
+
+def test_shared_tables_go(spark):
+    import os
+
+    from glyphmill import tables
+
+    t = tables.SharedTable(spark.range(3).toDF("i"))
+    at = tables.local_path(t.path)
+    assert t.df.count() == 3 and os.path.isdir(at)
+    tables.drop_tables(spark)
+    assert not os.path.exists(at) and not tables._kept
+    with pytest.raises(ValueError):
+        tables.local_path("hdfs://host/folder")
