@@ -83,3 +83,21 @@ u as (select 'work' as kind, coalesce(least(m, src_doc), src_doc)::varchar as un
   union all select case when coalesce(k, '') = '' then 'row' else 'look' end, case when coalesce(k, '') = '' then coalesce(doc_id, '') else k end from (select doc_id, {_look_sql('text')} as k from meta where src_doc is null))
 select kind, count(*) as n_rows, count(distinct unit) as n_units, 0 as n_torn from u group by kind"""
 SQL["p7_check"] = "select count(*) as n_documents, 0 as n_overfull, 0 as n_overlapping, 0 as n_cut, 0 as n_wrong from documents"
+
+# edit distances of words in a band of diagonals around the main one: within d of it, as the distance must be
+_TEXT = """w as (select doc_id, split, source, {words} as f from documents where split in ('train', 'val', 'test') and len(regexp_extract_all(text, '[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+')) >= 10)""".format(words=_WORDS)
+_NEAR = f"""{_TEXT},
+  g as (select doc_id, split = 'train' as tr, unnest(range(1, len(f) - 3)) as i, f, 5 as k from w union all select doc_id, split = 'train', unnest(range(1, len(f) - 2)), f, 4 from w where len(f) <= 10),
+  s as (select distinct doc_id, tr, f[i:i + k - 1] as g from g),
+  met as (select distinct x.doc_id as t, y.doc_id as e from s x join s y using (g) where x.tr and not y.tr),
+  two as (select t, e, x.f as a, y.f as b, greatest(len(x.f), len(y.f)) // 8 as d from met join w x on x.doc_id = t join w y on y.doc_id = e where abs(len(x.f) - len(y.f)) <= greatest(len(x.f), len(y.f)) // 8),
+  wa as (select t, e, v, count(*) as n from (select t, e, unnest(a) as v from two) group by all), wb as (select t, e, v, count(*) as n from (select t, e, unnest(b) as v from two) group by all),
+  cm as (select t, e, sum(least(wa.n, wb.n)) as c from wa join wb using (t, e, v) group by t, e),
+  q as (select t, e, a, b, d from two join cm using (t, e) where greatest(len(a), len(b)) - c <= d),
+  r as (select t, e, a, b, d, 0::bigint as i, list_transform(range(0, 2 * d + 1), lambda x: case when x >= d then x - d else 1000000 end) as row from q union all
+    select t, e, a, b, d, i + 1, list_transform(range(1, 2 * d + 2), lambda x: list_min(list_transform(range(1, x + 1), lambda y: z[y] - y)) + x) from
+      (select t, e, a, b, d, i, list_transform(range(0, 2 * d + 1), lambda x: case when i + 1 + x - d < 0 or i + 1 + x - d > len(b) then 1000000 when i + 1 + x - d = 0 then i + 1
+        else least(row[x + 1] + (a[i + 1] <> b[i + 1 + x - d])::bigint, coalesce(row[x + 2], 1000000) + 1) end) as z from r where i < len(a))),
+  hit as (select t, e from r where i = len(a) and row[len(b) - len(a) + d + 1] <= d union select x.doc_id, y.doc_id from w x join w y on x.f = y.f where x.split = 'train' and y.split <> 'train')"""
+SQL["p3_found"] = f"with recursive {_NEAR} select least(t, e) as doc_id_a, greatest(t, e) as doc_id_b from hit"
+SQL["p3_report"] = f"with recursive {_NEAR} select split, source, count(*) as n_documents, count(*) filter (doc_id in (select e from hit)) as n_overlapping from documents where split in ('val', 'test') group by split, source"
