@@ -29,26 +29,46 @@ _TWINS = (
 _GONE = "\u180b\u180c\u180d\u180e\u180f\u200c\u200d\ufeff\ufffe\u00ad\u034f\u061c\u200b\u200e\u200f\u2060\u2061\u2062\u2063\u2064" + "".join(map(chr, range(0xFE00, 0xFE10)))
 
 
-def _look_sql(x: str) -> str:
-    """A form in which equal looks are equal: by character instead of by token, so it is another route to
-    the same classes as the operator's spelling, with tables of its own."""
-    from unicodedata import normalize
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
 
+
+def _plain_sql(x: str) -> str:
+    """Full width, kinds of space, dashes and marks undone."""
     spaces = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
     pairs = [(chr(c), " ") for c in spaces] + [(chr(c + 0xFEE0), chr(c)) for c in range(0x21, 0x7F)] + [("\u2010", "-"), ("\u2011", "-")]
+    x = f"replace(replace({x}, chr(64257), 'fi'), chr(64258), 'fl')"
+    return f"nfc_normalize(translate({x}, {_lit(''.join(a for a, _ in pairs) + _GONE)}, {_lit(''.join(b for _, b in pairs))}))"
+
+
+def _twins(to_cyrillic: bool = False) -> dict[str, str]:
+    """Letters, with and without marks, to their Latin twins, or all to the Cyrillic ones."""
+    from unicodedata import normalize
+
     like = {a: b for twins, latin in _TWINS for a, b in zip(twins, latin, strict=True)}
-    for c, latin in list(like.items()):
+    if to_cyrillic:
+        back = {b: a for a, b in zip(*_TWINS[0])}
+        like = {a: back[b] for a, b in like.items() if b in back} | back
+    for c, to in list(like.items()):
         for mark in map(chr, range(0x300, 0x315)):
-            a, b = normalize("NFC", c + mark), normalize("NFC", latin + mark)
+            a, b = normalize("NFC", c + mark), normalize("NFC", to + mark)
             if len(a) == len(b) == 1:
                 like[a] = b
+    return like
 
-    def lit(s: str) -> str:
-        return "'" + s.replace("'", "''") + "'"
 
-    x = f"replace(replace({x}, chr(64257), 'fi'), chr(64258), 'fl')"
-    x = f"nfc_normalize(translate({x}, {lit(''.join(a for a, _ in pairs) + _GONE)}, {lit(''.join(b for _, b in pairs))}))"
-    return f"nfc_normalize(translate({x}, {lit(''.join(like))}, {lit(''.join(like.values()))}))"
+def _look_sql(x: str) -> str:
+    """A form in which equal looks are equal: by character instead of by token, so it is another route to
+    the same classes as the operator's spelling, with tables of its own."""
+    like = _twins()
+    return f"nfc_normalize(translate({_plain_sql(x)}, {_lit(''.join(like))}, {_lit(''.join(like.values()))}))"
+
+
+def _word_sql(x: str) -> str:
+    """The spelling of one word: Latin if all its letters can be, else Cyrillic if they can, else letter by letter. Needed
+    where case is folded afterwards, as capitals have twins that their small letters lack."""
+    latin, cyrillic = _look_sql(x), f"nfc_normalize(translate({_plain_sql(x)}, {_lit(''.join(_twins(True)))}, {_lit(''.join(_twins(True).values()))}))"
+    return f"case when not regexp_matches({latin}, '[\\p{{Cyrillic}}\\p{{Greek}}]') then {latin} when not regexp_matches({cyrillic}, '[\\p{{Latin}}\\p{{Greek}}]') then {cyrillic} else {latin} end"
 
 
 _STOCK = f"stock as (select distinct {_look_sql('text')} as k from stock_lines where text <> '')"
@@ -65,7 +85,7 @@ e as (select distinct a.src_doc as a, b.src_doc as b from h a join h b using (k)
 r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a)
 select min(b) as group_src_doc, a as src_doc from r group by a having min(b) < a"""
 
-_WORDS = f"list_filter(list_transform(regexp_extract_all(text, '[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda t: regexp_replace(lower({_look_sql('t')}), '[\\p{{P}}\\p{{Cc}}]', '', 'g')), lambda t: t <> '')"
+_WORDS = f"list_filter(list_transform(regexp_extract_all(text, '[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+'), lambda t: regexp_replace(lower({_word_sql('t')}), '[\\p{{P}}\\p{{Cc}}]', '', 'g')), lambda t: t <> '')"
 SQL["p3_coverage"] = f"""with w as (select doc_id, split, source, {_WORDS} as f from documents where split in ('train', 'val', 'test')
     and len(regexp_extract_all(text, '[^\\t-\\r\\x1c-\\x20\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]+')) >= 10),
   g as (select doc_id, split = 'train' as tr, 5 as k, unnest(range(1, len(f) - 3)) as i, f from w union all select doc_id, split = 'train', 4, unnest(range(1, len(f) - 2)), f from w where len(f) <= 10),
