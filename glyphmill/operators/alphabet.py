@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.text import chars
 
+# The keys of a vocabulary file.
+FILE_KEYS = ("chars", "sha256", "n_chars", "blank", "min_count", "source", "n_labels_scanned", "n_code_points")
 #: private characters from U+F0000 on stand for ids, so there can't be more
 MAX_CHARS = 131_072
 
@@ -78,7 +80,7 @@ class Alphabet:
         """Writes the vocabulary file; it never holds counts of characters."""
         os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
         with open(path, "w", encoding="utf-8") as f:
-            json.dump({"chars": list(self.chars), "sha256": self.sha256, "n_chars": len(self.chars), "blank": self.blank, "min_count": min_count, "source": source, "n_labels_scanned": n_labels, "n_code_points": n_code_points}, f, ensure_ascii=False, indent=1)
+            json.dump(dict(zip(FILE_KEYS, (list(self.chars), self.sha256, len(self.chars), self.blank, min_count, source, n_labels, n_code_points), strict=True)), f, ensure_ascii=False, indent=1)
 
     @classmethod
     def load(cls, path: str) -> Alphabet:

@@ -7,6 +7,7 @@ folder stands in only where it is unset, as in tests). Such a table outlives the
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
@@ -21,21 +22,26 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on the executors of the session's cluster, once for each
-    application: a zip in the shared folder is added to the Python path of all tasks."""
+    application: a zip in the shared folder, of whatever file system, is added to the Python path of all tasks."""
     app = spark.sparkContext.applicationId
-    folder = shared_dir(spark)
-    if app in _shipped or not (folder.startswith(("file:", "/"))):
+    if app in _shipped:
         return
     _shipped.add(app)
     package = os.path.dirname(os.path.abspath(__file__))
-    zipped = f"{local_path(folder)}/{os.path.basename(package)}-{uuid.uuid4().hex}"
-    os.makedirs(local_path(folder), exist_ok=True)
-    with zipfile.ZipFile(f"{zipped}.zip", "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for at, _, files in os.walk(package):
             for f in files:
                 if f.endswith(".py"):
                     z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(package)))
-    spark.sparkContext.addPyFile(f"{zipped}.zip")
+    zipped = f"{shared_dir(spark)}/{os.path.basename(package)}-{uuid.uuid4().hex}.zip"
+    to = spark._jvm.org.apache.hadoop.fs.Path(zipped)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to)
+    try:
+        out.write(held.getvalue())
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(local_path(zipped) if "://" not in zipped or zipped.startswith("file:") else zipped)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
