@@ -87,6 +87,35 @@ def test_column_directory(spark, tmp_path):
         columns.read_columns(spark, str(tmp_path / "empty"))
 
 
+def test_columns_are_read_in_batches_of_bounded_bytes(spark, tmp_path, monkeypatch):
+    """Pixels of 10,000 columns at once, many times their PNGs, filled the executors."""
+    import pyarrow as pa
+
+    shapes = {i: (30 + i, 12) for i in range(6)}
+    rows = [(i, encode_gray(np.full(s, i, np.uint8)), f"t{i}", 1, 5, [f"t{i}"]) for i, s in shapes.items()]
+    columns.write_columns(spark.createDataFrame(rows, "idx bigint, png binary, text string, n_lines int, src_doc bigint, line_texts array<string>"), str(tmp_path / "dir"))
+    (tmp_path / "dir" / "4.png").write_bytes(b"no PNG")
+    for at in ("dir", "d*"):  # a folder, and a pattern, which goes through the file index
+        got = columns.read_columns(spark, str(tmp_path / at)).collect()
+        assert [(r["idx"], r["image"]["h"], r["text"]) for r in got] == [(i, None if i == 4 else h, f"t{i}") for i, (h, _) in shapes.items()]
+    monkeypatch.setattr(columns, "BATCH_BYTES", 2 * 12 * 30)
+    names = pa.RecordBatch.from_pylist([{"idx": i, "json": {"name": f"{i}.json"}, "png": {"name": f"{i}.png"}} for i in shapes])
+    batches = list(columns._reader(str(tmp_path / "dir"))(iter([names])))
+    assert [b["idx"].to_pylist() for b in batches] == [[0, 1], [2, 3], [4, 5]]
+
+
+def test_column_dir_roundtrip_keeps_pixels_out_of_rows(spark, tmp_path, monkeypatch):
+    from glyphmill.plans import evaluation
+
+    rows = [(i, "t", 5, ["ab" * i, None, "abc"][: 1 + i % 3]) for i in range(12)]
+    spark.createDataFrame(rows, "idx bigint, text string, src_doc bigint, line_texts array<string>").write.parquet(f"{tmp_path}/column_labels.parquet")
+    written, write = [], columns.write_columns
+    monkeypatch.setattr(columns, "write_columns", lambda df, path: written.append(df) or write(df, path))
+    got = [tuple(r) for r in evaluation.column_dir_roundtrip(spark, str(tmp_path)).collect()]
+    assert got == [(i, "t", 5, 60 + 80 * (i % 3)) for i in range(12)]
+    assert "image#" not in written[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_count_roll_into_tars(spark, tmp_path):
     df = shards.roll_count(spark.createDataFrame([(f"k{i}", png(), sample(i, "x")) for i in range(5)], "key string, png binary, json string"), [F.col("key")], 2)
     tarshard.write(df, str(tmp_path), "val-", 4)
